@@ -1 +1,51 @@
-QUERIES, ORACLES = {}, {}
+"""Queries p1 and p6 to p10, with the SQL that checks them where SQL can."""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stratalog.llm import req, runs, tokenize
+
+QUANTILES, NAMES = [0.5, 0.9, 0.95, 0.99], ["median", "p90", "p95", "p99"]
+
+
+#: Where the public vocabularies lie; a parameter, never copied here.
+VOCABULARY = os.environ.get("STRATALOG_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return runs.collapse(table(spark, sf, "bash_rows"), least=2).select("sid", "low_row_id", "high_row_id")
+
+
+def p1_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return runs.collapse(table(spark, sf, "bash_rows"))
+
+
+def p6_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Every day's quantiles, and (day null) those of all days, merged from the days' summaries."""
+    day = F.to_date("ingested_at")
+    values = req.distinct_values(table(spark, sf, "bash_rows"), "bash_rows", "family", "durSec", day)
+    days = req.sketch_days(values.unionByName(req.distinct_values(table(spark, sf, "tool_rows"), "tool_rows", "tool", "outChars", day)))
+    return req.read_quantiles(days.unionByName(req.merge_days(days)), QUANTILES, NAMES)
+
+
+def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return tokenize.encode(table(spark, sf, "documents"), VOCABULARY)
+
+
+def p8_lossy(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents whose ids don't decode to their text; there are none."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    back = tokenize.decode(tokenize.encode(docs, VOCABULARY), VOCABULARY).withColumnRenamed("text", "back")
+    return docs.join(back, "doc_id").where("coalesce(text, '') <> back").select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p6_quantiles, p8_ids, p8_lossy)}
+ORACLES: dict[str, str] = {}
