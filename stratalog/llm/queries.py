@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm import req, runs, tokenize
+from stratalog.llm import language, leaks, req, runs, tokenize
 
 QUANTILES, NAMES = [0.5, 0.9, 0.95, 0.99], ["median", "p90", "p95", "p99"]
 
@@ -47,5 +47,31 @@ def p8_lossy(spark: SparkSession, sf: str) -> DataFrame:
     return docs.join(back, "doc_id").where("coalesce(text, '') <> back").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p6_quantiles, p8_ids, p8_lossy)}
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+def p9_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Every test item with the number of documents that leak it."""
+    found = p9_found(spark, sf).groupBy("item_id").agg(F.count("*").alias("n"))
+    items = table(spark, sf, "eval_items").select("item_id", "suite").distinct()
+    return items.join(found, "item_id", "left").select("item_id", "suite", F.coalesce("n", F.lit(0)).alias("n_docs"))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return language.mislabelled(docs, language.train(docs))
+
+
+def p10_passages(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return language.passages(docs, language.train(docs))
+
+
+def p10_documents(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return language.document_languages(docs, language.passages(docs, language.train(docs)))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p6_quantiles, p8_ids, p8_lossy, p9_found, p9_items, p10_found, p10_passages, p10_documents)}
 ORACLES: dict[str, str] = {}
