@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalog.llm import language, leaks, req, runs, tokenize
+from stratalog.llm import language, leaks, pii, req, runs, tokenize
 
 QUANTILES, NAMES = [0.5, 0.9, 0.95, 0.99], ["median", "p90", "p95", "p99"]
 
@@ -36,6 +36,20 @@ def p6_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     return req.read_quantiles(days.unionByName(req.merge_days(days)), QUANTILES, NAMES)
 
 
+def texts_with_people(spark: SparkSession, sf: str) -> DataFrame:
+    bash = table(spark, sf, "bash_rows")
+    return pii.gather({("user_msg_rows", "text"): table(spark, sf, "user_msg_rows"), ("bash_rows", "cmd"): bash, ("bash_rows", "out"): bash})
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.find(texts_with_people(spark, sf))
+
+
+def p7_clean(spark: SparkSession, sf: str) -> DataFrame:
+    """Every text of the distinct rows, readable, with placeholders."""
+    return pii.sanitise(texts_with_people(spark, sf)).distinct()
+
+
 def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokenize.encode(table(spark, sf, "documents"), VOCABULARY)
 
@@ -73,5 +87,5 @@ def p10_documents(spark: SparkSession, sf: str) -> DataFrame:
     return language.document_languages(docs, language.passages(docs, language.train(docs)))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p6_quantiles, p8_ids, p8_lossy, p9_found, p9_items, p10_found, p10_passages, p10_documents)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p6_quantiles, p7_found, p7_clean, p8_ids, p8_lossy, p9_found, p9_items, p10_found, p10_passages, p10_documents)}
 ORACLES: dict[str, str] = {}
