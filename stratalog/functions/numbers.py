@@ -46,7 +46,8 @@ def iso_of(seconds: Column) -> Column:
 
 def duration_sec(start_ms: Column, end_ms: Column) -> Column:
     """Seconds between two instants, never negative; null when either is."""
-    return F.greatest(F.lit(0.0), (end_ms - start_ms) / 1000.0)
+    gap = (end_ms - start_ms) / 1000.0
+    return F.when(gap.isNotNull(), F.greatest(F.lit(0.0), gap))
 
 
 def grouped(n: Column) -> Column:
