@@ -59,6 +59,11 @@ def collapse(s: Column) -> Column:
     return F.trim(F.regexp_replace(s, r"\s+", " "))
 
 
+def blank(s: Column) -> Column:
+    """Whether nothing but white space of any script is there."""
+    return s.rlike(r"(?U)\A[\s\x{FEFF}]*\z")
+
+
 def first_line(s: Column, n: int = 200) -> Column:
     """The first line that isn't blank, trimmed, at most n characters; empty when there is none."""
     lines = F.filter(F.split(s, r"\n"), lambda x: F.trim(x) != "")
