@@ -12,15 +12,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written once to the shared checkpoint folder, lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints that all executors share.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only when that is unset
-    (tests, a laptop) a private one is made.
+    It is the one the cluster names in spark.checkpoint.dir; only when that is unset (tests, a laptop) a private one is made.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="stratalog-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` written once to the shared checkpoint folder, lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
