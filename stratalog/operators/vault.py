@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratalog.functions import frontmatter
 from stratalog.functions import text as T
+from stratalog.functions.redaction import first_secret_line, redact
 
 INDEX, MOST_LINES, MOST_BYTES = "MEMORY.md", 200, 25 * 1024
 FENCED = r"(?s)\A\x{FEFF}?[ \t]*---[ \t]*\r?\n(?:.*?\r?\n)??[ \t]*---[ \t]*(?:\r?\n|\z)"
@@ -246,3 +248,28 @@ def triage(findings: DataFrame) -> DataFrame:
 def acceptable(findings: DataFrame) -> DataFrame:
     """Per vault: whether nothing of high or critical severity is left."""
     return findings.groupBy("vault").agg((~F.bool_or(F.col("severity").isin("high", "critical"))).alias("ok"))
+
+
+def audit(files: DataFrame) -> DataFrame:
+    """All findings of vaults read from files (vault, file, text). A vault that is empty or whose index is prose has that one finding."""
+    index = files.where(F.col("file") == INDEX).select("vault", "text")
+    md = files.where(F.lower("file").endswith(".md") & (F.col("file") != INDEX)).withColumn("slug", F.regexp_replace("file", r"(?i)\.md$", ""))
+    n = notes(md, "vault", "slug", "slug", "text")
+    found_links = links(n)
+    resolved = resolve(found_links, n)
+    lost = resolved.where("hits = 0 and target <> ''").select("vault", "target").distinct()
+    near = near_matches(lost, n.select("vault", F.lower("slug").alias("slug")).distinct())
+    entries = index_entries(index)
+    state = states(index, entries, n)
+    stray = _found(files.where(~F.lower("file").endswith(".md")), "IDX10", "file")
+    secret = F.pandas_udf(_secret_lines, "int")
+    secrets = _found(n.withColumn("line", secret("body")).where("line is not null"), "SEC01", line="line")
+    same = duplicates(n)
+    copies = _found(n.join(same, ["vault", "body_hash"]).where("note <> first"), "DUP01", evidence="first")
+    alive = state.where("state = 'ok'").select("vault")
+    inner = note_rules(n).unionByName(link_rules(resolved, near)).unionByName(stray).unionByName(secrets).unionByName(copies).join(alive, "vault", "left_semi")
+    return inner.unionByName(index_rules(entries, n, state))
+
+
+def _secret_lines(bodies: pd.Series) -> pd.Series:
+    return pd.Series([first_secret_line(b) or 0 if b and redact(b) != b else None for b in bodies], dtype="Int64")
