@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 LANGUAGES = ("en", "de", "fr", "es", "pt", "it", "nl", "ru", "ja")
 #: Labelled documents a language that the model is fitted on at most (about), rounds of fitting, longest n-gram.
 SAMPLE, ROUNDS, LONGEST = 600, 3, 4
+#: Frequency that anything has in every language: the same for all, so a language with little text gains nothing by it.
+FLOOR = 1e-5
 #: Names of the languages in themselves and in English, and three-letter codes.
 NAMES = {
     "en": "en eng english englisch anglais inglés inglese inglês",
@@ -125,8 +127,8 @@ class Model:
     """Log frequencies of words and of n-grams, by language."""
 
     def __init__(self, counts: dict[str, np.ndarray]):
-        total = sum(counts.values(), np.ones(len(LANGUAGES)))
-        self.words = {w: np.log((c + 0.02) / total) for w, c in counts.items() if c.sum() >= 2}
+        total = sum(counts.values(), np.full(len(LANGUAGES), 1e-9))
+        self.words = {w: np.log(c / total + FLOOR) for w, c in counts.items() if c.sum() >= 2}
         grams: dict[int, dict[str, np.ndarray]] = {n: defaultdict(lambda: np.zeros(len(LANGUAGES))) for n in range(1, LONGEST + 1)}
         for w, c in counts.items():
             marked = f"^{w}$"
@@ -135,8 +137,8 @@ class Model:
                     table[marked[i : i + n]] += c
         self.grams = {}
         for n, table in grams.items():
-            whole = sum(table.values(), np.ones(len(LANGUAGES)))
-            self.grams[n] = {g: np.log((c + 0.1) / whole) for g, c in table.items() if c.sum() >= 3}
+            whole = sum(table.values(), np.full(len(LANGUAGES), 1e-9))
+            self.grams[n] = {g: np.log(c / whole + FLOOR) for g, c in table.items() if c.sum() >= 2}
         self.none = np.zeros(len(LANGUAGES))
 
     def word(self, w: str) -> np.ndarray:
