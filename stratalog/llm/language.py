@@ -52,13 +52,13 @@ FENCE = re.compile(r"^[ \t>]*(```|~~~)")
 ITEM = re.compile(r"^[ \t>]*(?:[-*+•·‣–]|\d{1,3}[.)]|\[[ xX]\])\s+(?=\S)")
 QUOTE = re.compile(r"^[ \t]*>+ ?|^[ \t]*\d{1,4}[ \t]*[|:][ \t]?")
 NOT_TEXT = re.compile(
-    r"^\s*(?:\#{1,6}\s|\||\$ |> \$|={3,}|-{3,}|\+{3,}|@@|[\[{(}\])]*$|[\"']?[\w.-]+[\"']?\s*[:=]\s*[\[{\"'\d]|[{\[]|\}|</?\w|//|/\*|\d{4}-\d\d-\d\d[T ]|\[\d{4}-|\d\d:\d\d|(?:INFO|WARN|ERROR|DEBUG|TRACE|FATAL)\b|at .+[(:]\d+|Traceback|import |from \S+ import|def |class |function |const |let |var |return\b|export |#!|[-+][\t ]+\S+[.=(]|\w[\w.]*\s*[=({]\s*\S)"
+    r"^\s*(?:\#{1,6}\s|\||\$ |> \$|={3,}|-{3,}|\+{3,}|@@|[\[{(}\])]*$|[\"']?[\w.-]+[\"']?\s*[:=]\s*[\[{\"'\d]|[{\[]|\}|</?\w|//|/\*|\d{4}-\d\d-\d\d[T ]|\[\d{4}-|\d\d:\d\d|(?:INFO|WARN|ERROR|DEBUG|TRACE|FATAL)\b|at .+[(:]\d+|Traceback|import |from \S+ import|def |class |function |const |let |var |return\b|export |#!|[-+]\t|\w[\w.]*(?:\s*=\s*\S|[({]\S))"
 )
 JSON_TEXT = re.compile(r"\"(?:input|text|content|prompt|body)\"\s*:\s*\"((?:\\.|[^\"\\])*)\"")
 HTML_LINE = re.compile(r"^\s*</?(?:p|b|i|em|strong|li|ul|ol|div|span|blockquote|br|h\d)\b", re.I)
 TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
 INLINE = re.compile(r"```[^`]*```|`[^`\n]*`|\[\[[^\]\n]*\]\]|!?\[([^\]\n]*)\]\([^)\n]*\)|https?://\S+|data:\S+|\S{60,}|\b[\w.+-]+@[\w.-]+\b|(?<![\w])[@~.]?/?(?:[\w.-]+/)+[\w.-]*|\b\w+\.(?:py|ts|tsx|js|go|rs|md|json|sql|yml|yaml|txt|sh|toml|log)\b|\b[a-z0-9]+(?:[A-Z][a-z0-9]*)+\b|\b\w+_\w+\b|\b[a-z]+-[a-z]+(?=\b)|@\S+|#\d+")
-STOP = re.compile(r"(?<=[.!?;])[\"'»”)\]*_]*\s+(?=[^\W\d_]|[\"'«“(¿¡*_\d])|(?<=[。！？])")
+STOP = re.compile(r"(?<=[.!?;])[\"'»”)\]*_]*\s+(?=[^\W\d_]|[\"'«“(¿¡*_\d`\[@])|(?<=[。！？])")
 FRONT = re.compile(r"\A\s*---[ \t]*\r?\n.*?\n---[ \t]*(?:\r?\n|\Z)", re.S)
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 CJK = re.compile(r"[぀-ヿ㐀-鿿々ー]")
