@@ -250,6 +250,21 @@ def acceptable(findings: DataFrame) -> DataFrame:
     return findings.groupBy("vault").agg((~F.bool_or(F.col("severity").isin("high", "critical"))).alias("ok"))
 
 
+def index_diff(entries: DataFrame, note_rows: DataFrame) -> DataFrame:
+    """(vault, target, status): what is in the index only, in a file only, or in both."""
+    files = note_rows.where("slug is not null").select("vault", F.lower("slug").alias("target")).distinct().withColumn("_file", F.lit(True))
+    listed = entries.where("target is not null").select("vault", "target").distinct().withColumn("_listed", F.lit(True))
+    status = F.when(F.col("_listed").isNull(), "file only").when(F.col("_file").isNull(), "index only").otherwise("both")
+    return files.join(listed, ["vault", "target"], "full_outer").select("vault", "target", status.alias("status"))
+
+
+def hook_drift(entries: DataFrame, note_rows: DataFrame) -> DataFrame:
+    """(vault, note, line, hook, description) where an entry's hook and the note's description differ beyond case and outer blanks."""
+    d = note_rows.where("description <> ''").select("vault", "note", F.lower("slug").alias("target"), "description")
+    met = entries.where("hook is not null").join(d, ["vault", "target"])
+    return met.where(F.lower(F.trim("hook")) != F.lower(F.trim("description"))).select("vault", "note", "line", "hook", "description")
+
+
 def audit(files: DataFrame) -> DataFrame:
     """All findings of vaults read from files (vault, file, text). A vault that is empty or whose index is prose has that one finding."""
     index = files.where(F.col("file") == INDEX).select("vault", "text")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalog.functions import numbers as N
@@ -134,8 +134,9 @@ _WS = r"trim(regexp_replace(cmd, '\s+', ' ', 'g'))"
 def cmd_repeats(spark: SparkSession, sf: str) -> DataFrame:
     """Repetitions of a command within a session: how often, in how many sessions, and the seconds after each first run."""
     rows = facts.bash(spark, sf).where("cmd is not null").select("sid", T.collapse(F.col("cmd")).alias("cmd"), F.coalesce("t", F.lit(0)).alias("t"), "row_id", facts.msecs().alias("ms"))
-    later = rows.withColumn("k", F.row_number().over(Window.partitionBy("sid", "cmd").orderBy("t", "row_id"))).where("k > 1")
-    g = later.groupBy("cmd").agg(F.count("*").alias("repeats"), F.countDistinct("sid").alias("sessions"), N.half_up(F.sum("ms") / 1000.0, 1).alias("secs"))
+    # What came after the first is everything less the first: an aggregate, so a hot (session, command) combines map-side.
+    per = rows.groupBy("sid", "cmd").agg((F.count("*") - 1).alias("again"), (F.sum("ms") - F.min_by("ms", F.struct("t", "row_id"))).alias("ms")).where("again > 0")
+    g = per.groupBy("cmd").agg(F.sum("again").alias("repeats"), F.count("*").alias("sessions"), N.half_up(F.sum("ms") / 1000.0, 1).alias("secs"))
     return R.ranking(g, "repeats", "cmd", TOP)
 
 
@@ -255,8 +256,9 @@ def ctx_p95_chars(spark: SparkSession, sf: str) -> DataFrame:
   g AS (SELECT arg, count(*) AS extra_reads, count(DISTINCT sid) AS sessions, CAST(floor(sum(ch) / 4 + 0.5) AS BIGINT) AS tokens FROM r WHERE k > 1 GROUP BY arg) {_ORDERED("extra_reads", "arg", "*")}"""))
 def ctx_rereads(spark: SparkSession, sf: str) -> DataFrame:
     """Files read again in the same session, in order of the log."""
-    rows = facts.tools(spark, sf).where("tool = 'Read' and arg <> ''").withColumn("k", F.row_number().over(Window.partitionBy("sid", "arg").orderBy("row_id"))).where("k > 1")
-    g = rows.groupBy("arg").agg(F.count("*").alias("extra_reads"), F.countDistinct("sid").alias("sessions"), F.floor(F.sum(F.coalesce("outChars", F.lit(0))) / 4 + 0.5).alias("tokens"))
+    rows = facts.tools(spark, sf).where("tool = 'Read' and arg <> ''").select("sid", "arg", "row_id", F.coalesce("outChars", F.lit(0)).alias("ch"))
+    per = rows.groupBy("sid", "arg").agg((F.count("*") - 1).alias("again"), (F.sum("ch") - F.min_by("ch", "row_id")).alias("ch")).where("again > 0")
+    g = per.groupBy("arg").agg(F.sum("again").alias("extra_reads"), F.count("*").alias("sessions"), F.floor(F.sum("ch") / 4 + 0.5).alias("tokens"))
     return R.ranking(g, "extra_reads", "arg", TOP)
 
 

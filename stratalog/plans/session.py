@@ -114,4 +114,17 @@ def subagent_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return own.where("sid like 'agent-%'").groupBy("sid").agg(F.count("*").alias("turns"), F.max("ctx").alias("peak_ctx"))
 
 
+@query()
+def history_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """The explorer's history filter: tool results of 50 tokens or more that mention a word."""
+    e = _events(spark, sf)
+    return e.where((F.col("kind") == "tool-result") & (F.col("tokens") >= 50) & F.contains(F.lower("body"), F.lit("error"))).select("sid", "line_no", "pos", "title", "tokens")
+
+
+@query()
+def loaded_events(spark: SparkSession, sf: str) -> DataFrame:
+    """What each session loaded, by category."""
+    return _events(spark, sf).where("load is not null").groupBy("sid", "load").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"))
+
+
 QUERIES, ORACLES = query.queries, query.oracles

@@ -344,4 +344,45 @@ def prose_runs(spark: SparkSession, sf: str) -> DataFrame:
     return p.withColumn("same", same).where("same").groupBy("note").agg(F.count("*").alias("runs"))
 
 
+@query(sql(f""", {_INDEX}, a AS (SELECT DISTINCT vault, lslug AS target FROM n WHERE slug <> ''), v2 AS (SELECT DISTINCT vault, target FROM v)
+  SELECT coalesce(a.vault, v2.vault) AS vault, coalesce(a.target, v2.target) AS target, CASE WHEN v2.target IS NULL THEN 'file only' WHEN a.target IS NULL THEN 'index only' ELSE 'both' END AS status FROM a FULL JOIN v2 ON a.vault = v2.vault AND a.target = v2.target"""))
+def index_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """Index against files, both sides labelled."""
+    entries = V.index_entries(index(spark, sf))
+    return V.index_diff(entries, plain(spark, sf).where("slug <> ''"))
+
+
+@query()
+def hook_drift(spark: SparkSession, sf: str) -> DataFrame:
+    """Index entries whose hook says something else than the note's description; the rule has its tests on literal vaults."""
+    return V.hook_drift(V.index_entries(index(spark, sf)), notes(spark, sf))
+
+
+@query(sql(rf""", w AS (SELECT note, len(regexp_extract_all(body, '\S+')) AS words, len(regexp_extract_all(body, '(?i)\b[a-z]+[''’](?:t|s|re|ve|ll|d|m)\b')) AS short FROM n)
+  SELECT note, words, short AS contractions, {sql_half_up('coalesce(short * 90.0::DOUBLE / nullif(words, 0), 0)', 2)} AS per_90 FROM w WHERE words > 0"""))
+def prose_contractions(spark: SparkSession, sf: str) -> DataFrame:
+    """Contractions of each note, and for every 90 words."""
+    w = plain(spark, sf).select("note", F.regexp_count("body", F.lit(r"\S+")).cast("bigint").alias("words"), F.regexp_count("body", F.lit(r"(?i)\b[a-z]+['’](?:t|s|re|ve|ll|d|m)\b")).cast("bigint").alias("contractions"))
+    return w.where("words > 0").select("note", "words", "contractions", N.half_up(N.safe_div(F.col("contractions") * 90.0, F.col("words")), 2).alias("per_90"))
+
+
+@query(sql(rf""", a AS (SELECT note, unnest({_PARA}) AS para FROM n), op AS (SELECT note, lower(regexp_extract(para, '^\s*(\S+)', 1)) AS opener FROM a), g AS (SELECT note, opener, count(*) AS k, sum(count(*)) OVER (PARTITION BY note) AS total FROM op WHERE opener <> '' GROUP BY note, opener)
+  SELECT note, opener, k, {sql_half_up('k / total', 4)} AS share FROM g WHERE k > 1 AND k / total > 0.15"""))
+def prose_openers(spark: SparkSession, sf: str) -> DataFrame:
+    """Words that open more than 15 percent of a note's paragraphs, and more than one."""
+    paras = F.filter(F.split("body", r"\n[ \t]*\n"), lambda p: ~T.blank(p))
+    o = plain(spark, sf).select("note", F.explode(paras).alias("p")).select("note", F.lower(F.regexp_extract("p", r"^\s*(\S+)", 1)).alias("opener")).where("opener <> ''")
+    g = o.groupBy("note", "opener").agg(F.count("*").alias("k"))
+    total = g.groupBy("note").agg(F.sum("k").alias("total"))
+    share = F.col("k") / F.col("total")
+    return g.join(total, "note").where((F.col("k") > 1) & (share > 0.15)).select("note", "opener", "k", N.half_up(share, 4).alias("share"))
+
+
+@query(sql("SELECT vault, count(*) AS notes, count(*) FILTER (contains(lower(body), 'cache')) AS about FROM n GROUP BY vault"))
+def vault_browse(spark: SparkSession, sf: str) -> DataFrame:
+    """Notes of each vault, and those that mention a word: the facet search of the explorer."""
+    n = plain(spark, sf)
+    return n.groupBy("vault").agg(F.count("*").alias("notes"), F.count_if(F.contains(F.lower("body"), F.lit("cache"))).alias("about"))
+
+
 QUERIES, ORACLES = query.queries, query.oracles

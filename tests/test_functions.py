@@ -99,3 +99,11 @@ def test_frontmatter():
     assert (flat["shape"], flat["type"], flat["body"]) == ("flat", "user", "a\nb")
     assert frontmatter.parse("---\nname: x\nno end")["shape"] == "none"
     assert frontmatter.parse(None)["body"] == ""
+
+
+def test_sql_names(spark):
+    from stratalog.functions import register
+
+    register.register(spark)
+    row = spark.sql("""SELECT normalize_command('cd x && git log -1').family AS f, redact('AUTH_TOKEN=abc123def456ghi789') AS r, entropy('ab') AS e, pretty_json('{"a":1}') AS p, secret_line('x') AS s, parse_frontmatter('x').shape AS m""").first()
+    assert (row.f, row.r, row.e, row.p, row.s, row.m) == ("git log", "AUTH_TOKEN=[REDACTED]", 1.0, '{\n  "a": 1\n}', None, "none")

@@ -121,3 +121,11 @@ def test_snapshot_and_undo(tmp_path):
     (vault / "b.md").write_text("new")
     sinks.undo(str(vault), str(back))
     assert (vault / "a.md").read_text() == "1" and not (vault / "b.md").exists()
+
+
+def test_index_against_files(spark):
+    index = spark.createDataFrame([("v", "- [[a]] — the hook\n- [[gone]]\n- [B](b.md) - Same ")], "vault string, text string")
+    rows = spark.createDataFrame([("v", "1", "A", "another"), ("v", "2", "b", "same"), ("v", "3", "c", None)], "vault string, note string, slug string, description string")
+    entries = V.index_entries(index)
+    assert {(r.target, r.status) for r in V.index_diff(entries, rows).collect()} == {("a", "both"), ("b", "both"), ("c", "file only"), ("gone", "index only")}
+    assert [(r.note, r.hook) for r in V.hook_drift(entries, rows).collect()] == [("1", "the hook")]
