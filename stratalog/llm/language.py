@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 LANGUAGES = ("en", "de", "fr", "es", "pt", "it", "nl", "ru", "ja")
 #: Labelled documents a language that the model is fitted on at most (about), rounds of fitting, longest n-gram.
 SAMPLE, ROUNDS, LONGEST = 600, 3, 4
+#: Longest text, in characters, that the sample takes: with SAMPLE it bounds what the driver is sent.
+LONG = 50_000
 #: Frequency that anything has in every language: the same for all, so a language with little text gains nothing by it.
 FLOOR = 1e-5
 #: Names of the languages in themselves and in English, and three-letter codes.
@@ -43,9 +45,11 @@ BY_NAME = {name: lang for lang, names in NAMES.items() for name in names.split()
 
 def named(label: Column) -> Column:
     """The language a label names, whatever its spelling; null when it names none of LANGUAGES."""
-    first = F.regexp_extract(F.lower(F.trim(label)), r"^[\p{L}]+", 0)
+    words = F.filter(F.split(F.lower(label), r"[^\p{L}]+"), lambda w: w != "")
     table = F.create_map(*[F.lit(x) for pair in BY_NAME.items() for x in pair])
-    return F.when(first != "", F.try_element_at(table, first))
+    # A code stands first (de-AT); a name may have others before it (Brazilian Portuguese).
+    told = F.transform(words, lambda w, i: F.when((i == 0) | (F.length(w) > 3), F.try_element_at(table, w)))
+    return F.try_element_at(F.array_compact(told), F.lit(1))
 
 
 FENCE = re.compile(r"^[ \t>]*(```|~~~)")
@@ -204,7 +208,7 @@ def train(documents: DataFrame, sample: int = SAMPLE) -> Model:
 
     What is collected is bounded by sample x languages rows, whatever the corpus; their number is checked.
     """
-    labelled = documents.select("doc_id", "text", named(F.col("lang")).alias("_lang")).where("_lang is not null and text is not null")
+    labelled = documents.select("doc_id", "text", named(F.col("lang")).alias("_lang")).where(F.col("_lang").isNotNull() & (F.length("text") <= LONG))
     counts = {r._lang: r["count"] for r in labelled.groupBy("_lang").count().collect()}
     if not counts:
         return Model({})

@@ -129,9 +129,9 @@ def model():
 
 
 def test_labels(spark):
-    rows = ["en", "EN", "en_GB", "English", "deu", "German", "de-AT", "日本語", "xx", "und", "unknown", "", None, " fr "]
+    rows = ["en", "EN", "en_GB", "English", "deu", "German", "de-AT", "日本語", "xx", "und", "unknown", "", None, " fr ", "Brazilian Portuguese", "xx-de"]
     df = spark.createDataFrame([(r,) for r in rows], "l string")
-    assert [r[0] for r in df.select(language.named(F.col("l"))).collect()] == ["en"] * 4 + ["de"] * 3 + ["ja"] + [None] * 5 + ["fr"]
+    assert [r[0] for r in df.select(language.named(F.col("l"))).collect()] == ["en"] * 4 + ["de"] * 3 + ["ja"] + [None] * 5 + ["fr", "pt", None]
 
 
 def test_units_without_code():
