@@ -75,6 +75,25 @@ def _bursts(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
 
+def prefix_sums(df: DataFrame, by: list[str], order: list[str], columns: list[str], chunk: Column) -> DataFrame:
+    """`df` with `before_<c>` for each column: the sum over all earlier rows of the group, in an order that `chunk` follows.
+
+    Sums run inside chunks of a group, and what earlier chunks sum to is added: a group of any size is many tasks. Groups of a
+    single chunk have no such offset, so the joined table holds the chunks of very large groups only.
+    """
+    df = df.withColumn("_chunk", chunk)
+    inside = Window.partitionBy(*by, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = df.withColumns({f"before_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in columns})
+    earlier = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    totals = df.groupBy(*by, "_chunk").agg(*[F.sum(c).alias(c) for c in columns])
+    offsets = totals.select(*[F.col(b).alias(f"_{b}") for b in by], F.col("_chunk").alias("_c"), *[F.sum(c).over(earlier).alias(f"_off_{c}") for c in columns], F.row_number().over(Window.partitionBy(*by).orderBy("_chunk")).alias("_nth")).where("_nth > 1")
+    same = F.col("_chunk") == F.col("_c")
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"_{b}"))
+    joined = rows.join(offsets, same, "left").withColumns({f"before_{c}": F.col(f"before_{c}") + F.coalesce(f"_off_{c}", F.lit(0)) for c in columns})
+    return joined.drop("_chunk", "_c", "_nth", *[f"_{b}" for b in by], *[f"_off_{c}" for c in columns])
+
+
 def forward_fill(value: Column, by: list[str], order: list[str]) -> Column:
     """The last non-null value up to here."""
     return F.last(value, ignorenulls=True).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalog.functions import numbers as N
 from stratalog.operators import lines as L
+from stratalog.operators import sequences as S
 
 WINDOW, LIMIT = 1_000_000, 0.40
 #: What an attachment of each type loads.
@@ -21,7 +22,15 @@ LOADS = {
 SHARES = ["system_tools", "memory", "listings", "files", "tool_results", "prompts", "assistant_text", "thinking", "other", "unattributed"]
 GROWS = ["thinking", "assistant_text", "tool_results", "prompts", "files", "other"]
 STAYS = ["memory", "listings"]
-EVENTS = "sid string, line_no int, pos int, kind string, ts string, request string, side boolean, title string, body string, load string, tool string, ref string, is_error boolean"
+EVENTS = "sid string, line_no int, pos int, kind string, ts string, request string, side boolean, title string, body string, load string, tool string, ref string, is_error boolean, tokens bigint"
+
+
+#: Lines of a session that one task sums up.
+CHUNK = 50_000
+
+
+def _chunk() -> Column:
+    return F.floor(F.col("line_no") / CHUNK)
 
 
 def _size16(text: str) -> int:
@@ -99,21 +108,27 @@ def pretty(value: object) -> str:
     return json.dumps(value, indent=2, ensure_ascii=False)
 
 
-def _events(rows: Iterator[tuple]) -> Iterator[tuple]:
-    for sid, line_no, raw in rows:
-        line = L.parse(raw)
-        if line is None:
-            continue
-        ts = line["timestamp"] if isinstance(line.get("timestamp"), str) else None
-        for pos, (kind, request, title, body, load, tool, ref, error) in enumerate(_line_events(line, line_no)):
-            clean = body.encode("utf-8", "replace").decode()
-            yield sid, line_no, pos, kind, ts, request, line.get("isSidechain") is True, title, clean, load, tool, ref, error
+def _events(bodies: bool) -> Callable[[Iterator[tuple]], Iterator[tuple]]:
+    def each(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for sid, line_no, raw in rows:
+            line = L.parse(raw)
+            if line is None:
+                continue
+            ts = line["timestamp"] if isinstance(line.get("timestamp"), str) else None
+            for pos, (kind, request, title, body, load, tool, ref, error) in enumerate(_line_events(line, line_no)):
+                tokens = 0 if kind == "system" else (_size16(body) + 2) // 4
+                text = body.encode("utf-8", "replace").decode() if bodies else None
+                yield sid, line_no, pos, kind, ts, request, line.get("isSidechain") is True, title if bodies else None, text, load, tool, ref, error, tokens
+
+    return each
 
 
-def events(lines: DataFrame) -> DataFrame:
-    """Typed events of all lines (sid, line_no, raw), ordered by (line_no, pos), with `tokens` estimated from the body; system events weigh nothing."""
-    found = L.visit(lines.withColumn("line_no", F.col("line_no").cast("int")), ["sid", "line_no", "raw"], EVENTS, _events)
-    return weigh(found)
+def events(lines: DataFrame, bodies: bool = True) -> DataFrame:
+    """Typed events of all lines (sid, line_no, raw), ordered by (line_no, pos), with `tokens` estimated from the body; system events weigh nothing.
+
+    bodies: whether titles and bodies come along; sums need their sizes only, and those are taken where the line is parsed.
+    """
+    return L.visit(lines.withColumn("line_no", F.col("line_no").cast("int")), ["sid", "line_no", "raw"], EVENTS, _events(bodies))
 
 
 def weigh(found: DataFrame) -> DataFrame:
@@ -133,7 +148,8 @@ def turns(parsed: DataFrame, own_window: bool = False) -> DataFrame:
     if not own_window:
         rows = rows.where("not coalesce(side, false)")
     first = rows.groupBy("sid", "request").agg(F.min_by(F.struct("line_no", "ts", "model", "ctx", "cache_read", "output"), "line_no").alias("f")).select("sid", "request", "f.*")
-    return first.withColumn("turn", F.row_number().over(Window.partitionBy("sid").orderBy("line_no")) - 1)
+    counted = S.prefix_sums(first.withColumn("one", F.lit(1)), ["sid"], ["line_no"], ["one"], _chunk())
+    return counted.withColumn("turn", F.col("before_one").cast("int")).drop("one", "before_one")
 
 
 def peaks(turn_rows: DataFrame) -> DataFrame:
@@ -178,7 +194,7 @@ def snapshots(event_rows: DataFrame, turn_rows: DataFrame) -> DataFrame:
     Running sums in event order; a compaction starts a new epoch for the shares that grow. A turn's own output
     counts from the next turn on: its visible part as assistant_text, the rest as thinking. Shares always
     sum to the context: estimates are scaled down when they overshoot, else the rest is unattributed.
-    Sums are sort-based windows over a session, so their memory doesn't grow with it.
+    Sums run in chunks of CHUNK lines with offsets, so a session of any length is many tasks.
     """
     e = placed(event_rows, turn_rows)
     order = ["line_no", "pos"]
@@ -189,12 +205,11 @@ def snapshots(event_rows: DataFrame, turn_rows: DataFrame) -> DataFrame:
     rest = e.where("turn is null and not side").withColumn("share", share_of(F.col("load"), F.col("kind")))
     loads = rest.select("sid", *order, (F.col("kind") == "compaction").cast("int").alias("compacts"), *[F.when(F.col("share") == s, F.col("tokens")).otherwise(0).alias(s) for s in ("memory", "listings", "files", "tool_results", "prompts", "other")])
     steps = outputs.unionByName(loads, allowMissingColumns=True).fillna(0, GROWS + STAYS)
-    upto = Window.partitionBy("sid").orderBy(*order)
-    steps = steps.withColumn("epoch", F.sum("compacts").over(upto.rowsBetween(Window.unboundedPreceding, 0)))
-    # A turn is shown before its own output is added, so frames end one row earlier.
-    by_epoch = Window.partitionBy("sid", "epoch").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    sums = {**{s: F.coalesce(F.sum(s).over(by_epoch), F.lit(0)) for s in GROWS}, **{s: F.coalesce(F.sum(s).over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for s in STAYS}}
-    shown = steps.withColumns({f"_{s}": c for s, c in sums.items()}).where("turn is not null").join(residual(event_rows, turn_rows), "sid")
+    # A turn is shown before its own output is added, so sums are over earlier rows.
+    steps = S.prefix_sums(steps, ["sid"], order, ["compacts", *STAYS], _chunk())
+    steps = steps.withColumn("epoch", F.col("before_compacts") + F.col("compacts"))
+    steps = S.prefix_sums(steps, ["sid", "epoch"], order, GROWS, _chunk())
+    shown = steps.withColumns({f"_{s}": F.col(f"before_{s}") for s in GROWS + STAYS}).where("turn is not null").join(residual(event_rows, turn_rows), "sid")
     floor = F.least("system_tokens", "ctx")
     room = F.greatest(F.lit(0), F.col("ctx") - floor)
     total = sum((F.col(f"_{s}") for s in (GROWS + STAYS)[1:]), F.col(f"_{GROWS[0]}"))

@@ -13,6 +13,7 @@ from stratalog.plans import transcripts as P
 from stratalog.plans.catalogue import Catalogue
 from stratalog.sources import transcripts as X
 from stratalog.sources.facts import sql_half_up, with_facts
+from stratalog.sources.tables import checkpointed
 
 query = Catalogue()
 ITEMS = 40
@@ -32,6 +33,11 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
     return TL.events(P.lines(spark, sf))
 
 
+def _sizes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Events without their texts, and turns, each written once, since snapshots read them several times."""
+    return checkpointed(TL.events(P.lines(spark, sf), bodies=False)), checkpointed(_turns(spark, sf))
+
+
 @query(with_facts("l", f""", {_TURNS} SELECT sid, max(ctx) AS peak_ctx, CAST(arg_max(turn, (ctx, -turn)) AS INT) AS peak_turn, arg_max(cache_read, (ctx, -turn)) AS peak_cache_read, CAST(sum(output) AS BIGINT) AS total_output,
   arg_max(ctx, turn) AS final_ctx, count(*) AS turns FROM d GROUP BY sid"""))
 def sess_peak(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,24 +72,24 @@ def timeline_events(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def sess_snapshots(spark: SparkSession, sf: str) -> DataFrame:
-    return TL.snapshots(_events(spark, sf), _turns(spark, sf))
+    return TL.snapshots(*_sizes(spark, sf))
 
 
 @query()
 def sess_budget(spark: SparkSession, sf: str) -> DataFrame:
-    events, turns = _events(spark, sf), _turns(spark, sf)
+    events, turns = _sizes(spark, sf)
     return TL.budget(TL.snapshots(events, turns), TL.peaks(turns))
 
 
 @query()
 def sess_residual(spark: SparkSession, sf: str) -> DataFrame:
-    return TL.residual(_events(spark, sf), _turns(spark, sf))
+    return TL.residual(*_sizes(spark, sf))
 
 
 @query()
 def sess_thinking(spark: SparkSession, sf: str) -> DataFrame:
     """Each turn's output that isn't visible."""
-    e = TL.placed(_events(spark, sf), _turns(spark, sf)).where("turn is not null")
+    e = TL.placed(*_sizes(spark, sf)).where("turn is not null")
     seen = F.sum(F.when(F.col("kind").isin("assistant-text", "tool-call"), F.col("tokens")).otherwise(0))
     return e.groupBy("sid", "turn").agg(F.greatest(F.lit(0), F.max("output") - seen).alias("thinking"))
 
@@ -91,13 +97,13 @@ def sess_thinking(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def turn_ffill(spark: SparkSession, sf: str) -> DataFrame:
     """Events with the turn they fall into: the last one begun, 0 before the first."""
-    e = TL.placed(_events(spark, sf), _turns(spark, sf))
+    e = TL.placed(*_sizes(spark, sf))
     return e.select("sid", "line_no", "pos", "kind", F.coalesce(S.forward_fill(F.col("turn"), ["sid"], ["line_no", "pos"]), F.lit(0)).alias("turn"))
 
 
 @query()
 def compaction_turns(spark: SparkSession, sf: str) -> DataFrame:
-    return TL.compaction_turns(_events(spark, sf), _turns(spark, sf))
+    return TL.compaction_turns(*_sizes(spark, sf))
 
 
 @query()

@@ -68,6 +68,20 @@ def test_ranking_says_what_it_leaves_out(spark):
     assert R.ranking(df.where("false"), "m", "k", 2).count() == 0
 
 
+def test_prefix_sums_over_chunks(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(7)
+    rows = [(rng.choice(["a", "a", "a", None]), i, rng.randint(0, 9)) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, at int, v int")
+    got = {r.at: r.before_v for r in S.prefix_sums(df, ["g"], ["at"], ["v"], F.floor(F.col("at") / 37)).collect()}
+    sums, want = {}, {}
+    for g, at, v in rows:
+        want[at] = sums.get(g, 0)
+        sums[g] = want[at] + v
+    assert got == want
+
+
 def test_running_and_filling(spark):
     from pyspark.sql import functions as F
 

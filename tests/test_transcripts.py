@@ -98,11 +98,13 @@ def timeline(spark, rows):
     return TL.events(lines), TL.turns(X.parse(lines))
 
 
-def test_snapshots(spark):
+@pytest.mark.parametrize("chunk", [50_000, 2])
+def test_snapshots(spark, monkeypatch, chunk):
     rows = [
         user("p" * 40), assistant("r1", [{"type": "text", "text": "v" * 40}], usage=(100, 50, 0, 0)), user([result("t", "o" * 80)]), assistant("side", [], usage=(999, 1, 0, 0), isSidechain=True),
         assistant("r2", [], usage=(300, 5, 0, 0)), assistant("r2", [{"type": "text", "text": "w"}], usage=(300, 5, 0, 0)), user("s" * 400, isCompactSummary=True), user("s" * 400, isCompactSummary=True), assistant("r3", [{"type": "text", "text": "x"}], usage=(120, 9, 0, 0)),
     ]
+    monkeypatch.setattr(TL, "CHUNK", chunk)
     events, turns = timeline(spark, rows)
     assert [(r.turn, r.ctx) for r in turns.orderBy("turn").collect()] == [(0, 100), (1, 300), (2, 120)]
     shots = {r.turn: r.asDict() for r in TL.snapshots(events, turns).collect()}
