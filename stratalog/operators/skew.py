@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratalog.sources.tables import checkpointed
+
 
 def partials(df: DataFrame, key: str, order: str, measures: dict[str, Column], partitions: int | None = None) -> DataFrame:
     """Distinct rows, balanced: (key_value, order_value, measures).
@@ -39,7 +41,10 @@ def per_key(df: DataFrame, key: str, order: str, measures: dict[str, Column] | N
 
 
 def heavy_keys(df: DataFrame, key: str, order: str, share: float) -> DataFrame:
-    """Keys holding at least `share` of the distinct rows: `key_value`, `n`, `total`. Null is no key value, but its rows count in the total."""
-    keys = per_key(df, key, order)
+    """Keys holding at least `share` of the distinct rows: `key_value`, `n`, `total`. Null is no key value, but its rows count in the total.
+
+    The counts are written once, since they are compared with their own sum: else the rows would be read and partitioned for each.
+    """
+    keys = checkpointed(per_key(df, key, order))
     total = keys.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))  # one row by construction
     return keys.where("key_value is not null").crossJoin(F.broadcast(total)).where(F.col("n") >= F.col("total") * F.lit(share))
