@@ -106,7 +106,12 @@ _P5 = f"""WITH RECURSIVE lines AS (SELECT line_id, any_value(raw) AS raw FROM tr
   UNION ALL SELECT line_id, 'usage', '', 'usage' FROM lines WHERE json_type(raw, '$.message.usage') = 'OBJECT'
   UNION ALL SELECT line_id, 'toolUseResult', '', 'toolUseResult' FROM lines WHERE json_type(raw, '$.toolUseResult') = 'OBJECT'"""
 
+_P5_USAGE = """SELECT count(*) AS n_usage, CAST(sum(CASE WHEN json_type(raw, '$.message.usage.input_tokens') IN ('UBIGINT', 'BIGINT') THEN CAST(json_extract_string(raw, '$.message.usage.input_tokens') AS BIGINT) END) AS BIGINT) AS input_tokens,
+  CAST(sum(CASE WHEN json_type(raw, '$.message.usage.output_tokens') IN ('UBIGINT', 'BIGINT') THEN CAST(json_extract_string(raw, '$.message.usage.output_tokens') AS BIGINT) END) AS BIGINT) AS output_tokens
+  FROM (SELECT line_id, any_value(raw) AS raw FROM transcript_lines WHERE json_valid(raw) AND json_type(raw) = 'OBJECT' GROUP BY line_id) WHERE json_type(raw, '$.message.usage') = 'OBJECT'"""
+
 ORACLES = {
+    "p5_usage": _P5_USAGE,
     "p3_found": " UNION ALL ".join(_heavy(*k) for k in KEYS),
     "p3_per_key": " UNION ALL ".join(_per_key(*k) for k in KEYS),
     "p4_found": _ORPHANS + "SELECT DISTINCT src, sid, ref FROM orphans",

@@ -34,12 +34,12 @@ def _kinds(spark: SparkSession) -> DataFrame:
 @query(with_facts("s", """SELECT count(*) AS files, count(*) FILTER (kind = 'main') AS main, count(*) FILTER (kind = 'subagent') AS subagent, count(*) FILTER (kind = 'workflow-agent') AS workflow_agent, count(DISTINCT proj) AS projects, min(start) AS from_t, max("end") AS to_t FROM s"""))
 def window_section(spark: SparkSession, sf: str) -> DataFrame:
     kinds = [F.count_if(F.col("kind") == k).alias(k.replace("-", "_")) for k in KINDS]
-    return facts.sessions(spark, sf).agg(F.count("*").alias("files"), *kinds, F.countDistinct("proj").alias("projects"), F.min("start").alias("from_t"), F.max("end").alias("to_t"))
+    return facts.sessions(spark, sf, "kind", "proj", "start", "end").agg(F.count("*").alias("files"), *kinds, F.countDistinct("proj").alias("projects"), F.min("start").alias("from_t"), F.max("end").alias("to_t"))
 
 
 @query(with_facts("s", f"SELECT {_SUMS} FROM s"))
 def tokens_totals(spark: SparkSession, sf: str) -> DataFrame:
-    return facts.sessions(spark, sf).agg(*_sums())
+    return facts.sessions(spark, sf, *TOKENS).agg(*_sums())
 
 
 def _by_model(sessions: DataFrame) -> DataFrame:
@@ -62,12 +62,12 @@ _MODEL = ", ".join(f'CAST({sql_half_up(f"sum(CAST(round({chr(34)}{c}{chr(34)} *
       CASE WHEN models IS NULL OR cardinality(models) = 0 THEN 1 ELSE list_sum(map_values(models)) END AS calls FROM s)
   SELECT model, {_MODEL} FROM p GROUP BY model"""))
 def tokens_by_model(spark: SparkSession, sf: str) -> DataFrame:
-    return _by_model(facts.sessions(spark, sf))
+    return _by_model(facts.sessions(spark, sf, "models", *TOKENS))
 
 
 @query(with_facts("s", "SELECT k.kind, " + ", ".join(f'CAST(coalesce(sum("{c}"), 0) AS BIGINT) AS "{c}"' for c in TOKENS) + " FROM (SELECT unnest(['main', 'subagent', 'workflow-agent']) AS kind) k LEFT JOIN s USING (kind) GROUP BY k.kind"))
 def tokens_by_kind(spark: SparkSession, sf: str) -> DataFrame:
-    sums = facts.sessions(spark, sf).groupBy("kind").agg(*_sums())
+    sums = facts.sessions(spark, sf, "kind", *TOKENS).groupBy("kind").agg(*_sums())
     return _kinds(spark).join(sums, "kind", "left").select("kind", *[F.coalesce(c, F.lit(0)).alias(c) for c in TOKENS])
 
 
@@ -77,7 +77,7 @@ _GRAND = " + ".join(f'coalesce("{c}", 0)' for c in TOKENS)
 @query(with_facts("s", f', g AS (SELECT proj, {_SUMS}, count(*) AS sessions, CAST(sum({_GRAND}) AS BIGINT) AS grand FROM s GROUP BY proj) {_ORDERED("grand", "proj", "proj, sessions, grand, " + ", ".join(chr(34) + c + chr(34) for c in TOKENS))}'))
 def tokens_by_project(spark: SparkSession, sf: str) -> DataFrame:
     grand = sum((F.coalesce(c, F.lit(0)) for c in TOKENS[1:]), F.coalesce(TOKENS[0], F.lit(0)))
-    g = facts.sessions(spark, sf).groupBy("proj").agg(*_sums(), F.count("*").alias("sessions"), F.sum(grand).alias("grand"))
+    g = facts.sessions(spark, sf, "proj", *TOKENS).groupBy("proj").agg(*_sums(), F.count("*").alias("sessions"), F.sum(grand).alias("grand"))
     return R.ranking(g, "grand", "proj", TOP)
 
 
@@ -238,7 +238,7 @@ def err_denied(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(with_facts("s", f', g AS (SELECT sid, proj, kind, "maxCtx" FROM s) {_ORDERED(chr(34) + "maxCtx" + chr(34), "sid", "*")}'))
 def ctx_top_sessions(spark: SparkSession, sf: str) -> DataFrame:
-    return R.ranking(facts.sessions(spark, sf).select("sid", "proj", "kind", "maxCtx"), "maxCtx", "sid", TOP)
+    return R.ranking(facts.sessions(spark, sf, "proj", "kind", "maxCtx"), "maxCtx", "sid", TOP)
 
 
 @query(with_facts("t", f', g AS (SELECT row_id, sid, tool, "outChars", CAST(floor("outChars" / 4 + 0.5) AS BIGINT) AS tokens FROM t WHERE "outChars" > 0) {_ORDERED(chr(34) + "outChars" + chr(34), "row_id", "*")}'))
@@ -265,7 +265,7 @@ def ctx_rereads(spark: SparkSession, sf: str) -> DataFrame:
 @query(with_facts("s", f"""SELECT k.kind, {sql_half_up('coalesce(sum("cacheCreateTokens") / nullif(coalesce(sum("cacheCreateTokens"), 0) + coalesce(sum("cacheReadTokens"), 0), 0), 0)', 4)} AS write_ratio
   FROM (SELECT unnest(['main', 'subagent', 'workflow-agent']) AS kind) k LEFT JOIN s USING (kind) GROUP BY k.kind"""))
 def ctx_cache_ratio(spark: SparkSession, sf: str) -> DataFrame:
-    sums = facts.sessions(spark, sf).groupBy("kind").agg(F.sum("cacheCreateTokens").alias("w"), F.sum("cacheReadTokens").alias("r"))
+    sums = facts.sessions(spark, sf, "kind", "cacheCreateTokens", "cacheReadTokens").groupBy("kind").agg(F.sum("cacheCreateTokens").alias("w"), F.sum("cacheReadTokens").alias("r"))
     ratio = N.safe_div(F.col("w"), F.coalesce("w", F.lit(0)) + F.coalesce("r", F.lit(0)))
     return _kinds(spark).join(sums, "kind", "left").select("kind", N.half_up(ratio, 4).alias("write_ratio"))
 
@@ -274,7 +274,7 @@ _WEBROWS = "w AS (SELECT t.*, s.run FROM t LEFT JOIN s USING (sid) WHERE tool IN
 
 
 def _web(spark: SparkSession, sf: str) -> DataFrame:
-    runs = facts.sessions(spark, sf).select("sid", "run")
+    runs = facts.sessions(spark, sf, "run")
     return facts.tools(spark, sf).where(F.col("tool").isin(WEB)).join(runs, "sid", "left")
 
 
@@ -317,7 +317,7 @@ def web_by_run(spark: SparkSession, sf: str) -> DataFrame:
   SELECT g.*, o.proj, (SELECT count(*) FROM g) AS total FROM g LEFT JOIN o USING (run) ORDER BY "cacheReadTokens" DESC NULLS LAST, run LIMIT {TOP}"""))
 def fan_runs(spark: SparkSession, sf: str) -> DataFrame:
     """Workflow runs with their agents, totals, and the median of what agents wrote to the cache first."""
-    w = facts.sessions(spark, sf).where("run <> ''")
+    w = facts.sessions(spark, sf, "run", "proj", "firstTurnCacheCreate", *TOKENS).where("run <> ''")
     proj = w.where("proj is not null").groupBy("run", "proj").agg(F.count("*").alias("n")).groupBy("run").agg(R.mode("proj", "n").alias("proj"))
     g = w.groupBy("run").agg(F.count("*").alias("agents"), *_sums(), N.half_up(F.coalesce(F.expr("percentile(firstTurnCacheCreate, 0.5)"), F.lit(0.0)), 2).alias("median_first_write"))
     return R.ranking(g.join(proj, "run", "left"), "cacheReadTokens", "run", TOP)
@@ -327,7 +327,7 @@ def fan_runs(spark: SparkSession, sf: str) -> DataFrame:
   g AS (SELECT sid, "cacheReadTokens", {sql_half_up("yield", 6)} AS yield FROM y WHERE yield <= (SELECT quantile_disc(yield, 0.1) FROM y)) {_ORDERED(chr(34) + "cacheReadTokens" + chr(34), "sid", "*")}"""))
 def fan_low_yield(spark: SparkSession, sf: str) -> DataFrame:
     """Agents among the tenth that wrote least for what they read."""
-    y = facts.sessions(spark, sf).where("kind <> 'main' and cacheReadTokens > 0 and outTokens is not null").select("sid", "cacheReadTokens", (F.col("outTokens") / F.col("cacheReadTokens")).alias("yield"))
+    y = facts.sessions(spark, sf, "kind", "cacheReadTokens", "outTokens").where("kind <> 'main' and cacheReadTokens > 0 and outTokens is not null").select("sid", "cacheReadTokens", (F.col("outTokens") / F.col("cacheReadTokens")).alias("yield"))
     line = y.agg(F.expr("percentile_disc(0.1) WITHIN GROUP (ORDER BY yield)").alias("line"))  # one row
     low = y.crossJoin(F.broadcast(line)).where("yield <= line")
     return R.ranking(low.select("sid", "cacheReadTokens", N.half_up(F.col("yield"), 6).alias("yield")), "cacheReadTokens", "sid", TOP)
@@ -336,7 +336,7 @@ def fan_low_yield(spark: SparkSession, sf: str) -> DataFrame:
 @query(with_facts("s", """SELECT count(*) FILTER (kind <> 'main' AND "firstTurnCacheCreate" > 0) AS agents_with_first_write, CAST(coalesce(sum("firstTurnCacheCreate") FILTER (kind = 'workflow-agent'), 0) AS BIGINT) AS workflow_first_write FROM s"""))
 def fan_scalars(spark: SparkSession, sf: str) -> DataFrame:
     first = F.col("firstTurnCacheCreate")
-    return facts.sessions(spark, sf).agg(
+    return facts.sessions(spark, sf, "kind", "firstTurnCacheCreate").agg(
         F.count_if((F.col("kind") != "main") & (first > 0)).alias("agents_with_first_write"),
         F.coalesce(F.sum(F.when(F.col("kind") == "workflow-agent", first)), F.lit(0)).alias("workflow_first_write"),
     )
@@ -351,7 +351,7 @@ _PROJ = f""", n AS (SELECT proj, cwd, count(*) AS n FROM s WHERE cwd IS NOT NULL
 @query(with_facts("sb", _PROJ))
 def proj_report(spark: SparkSession, sf: str) -> DataFrame:
     """Projects by tokens, with their usual folder and their shell seconds."""
-    s = facts.sessions(spark, sf).where("proj is not null")
+    s = facts.sessions(spark, sf, "proj", "cwd", *TOKENS).where("proj is not null")
     cwd = s.where("cwd is not null").groupBy("proj", "cwd").agg(F.count("*").alias("n")).groupBy("proj").agg(R.mode("cwd", "n").alias("cwd"))
     shell = facts.bash(spark, sf).groupBy("proj").agg(N.half_up(F.sum(facts.msecs()) / 1000.0, 1).alias("bash_secs"), F.count("*").alias("bash_calls"))
     grand = sum((F.coalesce(c, F.lit(0)) for c in TOKENS[1:]), F.coalesce(TOKENS[0], F.lit(0)))

@@ -66,7 +66,7 @@ def tag_cardinality(spark: SparkSession, sf: str) -> DataFrame:
 @query(with_facts("st", """, l AS (SELECT DISTINCT sid, unnest(map_keys(tools)) AS tool FROM s WHERE tools IS NOT NULL) SELECT l.sid, l.tool FROM l WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.sid = l.sid AND t.tool = l.tool)"""))
 def unused_surface(spark: SparkSession, sf: str) -> DataFrame:
     """Tools that a session counts and no tool row shows."""
-    loaded = facts.sessions(spark, sf).select("sid", F.explode(F.map_keys("tools")).alias("tool"))
+    loaded = facts.sessions(spark, sf, "tools").select("sid", F.explode(F.map_keys("tools")).alias("tool"))
     return E.unused(loaded, facts.tools(spark, sf), ["sid", "tool"])
 
 
@@ -101,7 +101,7 @@ _FIX = lambda x, d: f"printf('%.{d}f', {sql_half_up(x, d)})"
   FROM (SELECT sid, "cacheReadTokens" AS x FROM s WHERE "cacheReadTokens" IS NOT NULL)"""))
 def fmt_tokens(spark: SparkSession, sf: str) -> DataFrame:
     x = F.col("cacheReadTokens")
-    return facts.sessions(spark, sf).where(x.isNotNull()).select("sid", N.tokens_short(x).alias("short"), N.thousands_short(x).alias("thousands"), N.grouped(x).alias("long"))
+    return facts.sessions(spark, sf, "cacheReadTokens").where(x.isNotNull()).select("sid", N.tokens_short(x).alias("short"), N.thousands_short(x).alias("thousands"), N.grouped(x).alias("long"))
 
 
 @query(with_facts("t", f"""SELECT row_id, CASE WHEN x < 90 THEN {_FIX('x', 1)} || 's' WHEN x < 5400 THEN {_FIX('x / 60', 1)} || 'm' ELSE {_FIX('x / 3600', 1)} || 'h' END AS short,
@@ -114,12 +114,12 @@ def fmt_seconds(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(with_facts("s", f"SELECT sid, CASE WHEN bytes < 1024 THEN bytes || ' B' WHEN bytes < 1048576 THEN {_FIX('bytes / 1024', 1)} || ' KB' ELSE {_FIX('bytes / 1048576', 1)} || ' MB' END AS size FROM s WHERE bytes IS NOT NULL"))
 def fmt_bytes(spark: SparkSession, sf: str) -> DataFrame:
-    return facts.sessions(spark, sf).where("bytes is not null").select("sid", N.bytes_short(F.col("bytes")).alias("size"))
+    return facts.sessions(spark, sf, "bytes").where("bytes is not null").select("sid", N.bytes_short(F.col("bytes")).alias("size"))
 
 
 @query(with_facts("s", """SELECT sid, CASE WHEN start > 0 THEN strftime(make_timestamp(start * 1000000), '%Y-%m-%dT%H:%M:%S.000Z') ELSE '' END AS begun FROM s"""))
 def iso_times(spark: SparkSession, sf: str) -> DataFrame:
-    return facts.sessions(spark, sf).select("sid", F.coalesce(N.iso_of(F.col("start")), F.lit("")).alias("begun"))
+    return facts.sessions(spark, sf, "start").select("sid", F.coalesce(N.iso_of(F.col("start")), F.lit("")).alias("begun"))
 
 
 _SHAPES = "text"

@@ -129,7 +129,7 @@ def human_repeats(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(with_facts("ms", f"SELECT (SELECT count(*) FROM m WHERE {_SCAN} AND NOT {_PASTED}) AS turns, (SELECT CAST(coalesce(sum(interrupts), 0) AS BIGINT) FROM s) AS interrupts"))
 def human_scalars(spark: SparkSession, sf: str) -> DataFrame:
-    interrupts = facts.sessions(spark, sf).agg(F.coalesce(F.sum("interrupts"), F.lit(0)).alias("interrupts"))
+    interrupts = facts.sessions(spark, sf, "interrupts").agg(F.coalesce(F.sum("interrupts"), F.lit(0)).alias("interrupts"))
     return turns(spark, sf).agg(F.count("*").alias("turns")).crossJoin(F.broadcast(interrupts))  # one row each
 
 

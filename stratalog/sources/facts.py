@@ -25,10 +25,11 @@ def messages(spark: SparkSession, sf: str) -> DataFrame:
     return distinct_rows(table(spark, sf, "user_msg_rows"))
 
 
-def sessions(spark: SparkSession, sf: str) -> DataFrame:
-    """The latest snapshot of each session."""
+def sessions(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """The latest snapshot of each session; with `columns`, those alone are read (a struct's fields aren't pruned through an aggregate)."""
     df = table(spark, sf, "session_rows")
-    return df.groupBy("sid").agg(F.max_by(F.struct(*[c for c in df.columns if c != "sid"]), "ingested_at").alias("r")).select("sid", "r.*")
+    wanted = list(columns) or [c for c in df.columns if c != "sid"]
+    return df.groupBy("sid").agg(F.max_by(F.struct(*wanted), "ingested_at").alias("r")).select("sid", "r.*")
 
 
 def msecs(c: str = "durSec"):
