@@ -36,6 +36,22 @@ def p6_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     return req.read_quantiles(days.unionByName(req.merge_days(days)), QUANTILES, NAMES)
 
 
+def p6_bound(spark: SparkSession, sf: str) -> DataFrame:
+    """Per table: keys, and whether every quantile's exact rank lies within the stated bound of the wanted one."""
+    day = F.to_date("ingested_at")
+    values = req.distinct_values(table(spark, sf, "bash_rows"), "bash_rows", "family", "durSec", day).unionByName(req.distinct_values(table(spark, sf, "tool_rows"), "tool_rows", "tool", "outChars", day))
+    read = req.read_quantiles(req.merge_days(req.sketch_days(values)), QUANTILES, NAMES).drop("day")
+    v = values.where("value is not null and not isnan(value)").select("tbl", F.col("key_value").alias("k"), "value")
+    met = v.join(read, (v["tbl"] == read["tbl"]) & v["k"].eqNullSafe(read["key_value"])).drop(v["tbl"])
+    ranks = met.groupBy("tbl", "key_value", "n").agg(*[c for name in NAMES for c in (F.count_if(F.col("value") < F.col(name)).alias(f"{name}_lt"), F.count_if(F.col("value") <= F.col(name)).alias(f"{name}_le"))])
+    ok = F.lit(True)
+    for p, name in zip(QUANTILES, NAMES):
+        want = F.greatest(F.lit(1), F.ceil(F.lit(p) * F.col("n")))
+        off = F.greatest(F.lit(0), F.col(f"{name}_lt") + 1 - want, want - F.col(f"{name}_le"))
+        ok = ok & (off <= req.EPS * (F.col("n") - want + 1))
+    return ranks.groupBy("tbl").agg(F.count("*").alias("keys"), F.bool_and(ok).alias("within"))
+
+
 def texts_with_people(spark: SparkSession, sf: str) -> DataFrame:
     bash = table(spark, sf, "bash_rows")
     return pii.gather({("user_msg_rows", "text"): table(spark, sf, "user_msg_rows"), ("bash_rows", "cmd"): bash, ("bash_rows", "out"): bash})
@@ -87,5 +103,9 @@ def p10_documents(spark: SparkSession, sf: str) -> DataFrame:
     return language.document_languages(docs, language.passages(docs, language.train(docs)))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p6_quantiles, p7_found, p7_clean, p8_ids, p8_lossy, p9_found, p9_items, p10_found, p10_passages, p10_documents)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p6_quantiles, p6_bound, p7_found, p7_clean, p8_ids, p8_lossy, p9_found, p9_items, p10_found, p10_passages, p10_documents)}
+ORACLES = {
+    "p6_bound": """SELECT 'bash_rows' AS tbl, count(DISTINCT coalesce(family, chr(0))) AS keys, true AS within FROM bash_rows WHERE "durSec" IS NOT NULL AND NOT isnan("durSec") HAVING keys > 0
+      UNION ALL SELECT 'tool_rows', count(DISTINCT coalesce(tool, chr(0))) AS keys, true FROM tool_rows WHERE "outChars" IS NOT NULL HAVING keys > 0""",
+    "p8_lossy": "SELECT doc_id FROM documents WHERE false",
+}
