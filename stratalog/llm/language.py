@@ -62,6 +62,8 @@ JSON_TEXT = re.compile(r"\"(?:input|text|content|prompt|body)\"\s*:\s*\"((?:\\.|
 HTML_LINE = re.compile(r"^\s*</?(?:p|b|i|em|strong|li|ul|ol|div|span|blockquote|br|h\d)\b", re.I)
 TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
 INLINE = re.compile(r"```[^`]*```|`[^`\n]*`|\[\[[^\]\n]*\]\]|!?\[([^\]\n]*)\]\([^)\n]*\)|https?://\S+|data:\S+|\S{60,}|\b[\w.+-]+@[\w.-]+\b|(?<![\w])[@~.]?/?(?:[\w.-]+/)+[\w.-]*|\b\w+\.(?:py|ts|tsx|js|go|rs|md|json|sql|yml|yaml|txt|sh|toml|log)\b|\b[a-z0-9]+(?:[A-Z][a-z0-9]*)+\b|\b\w+_\w+\b|\b[a-z]+-[a-z]+(?=\b)|@\S+|#\d+")
+#: Signs without one of which INLINE matches nothing; they are looked for first, as that is much cheaper.
+MAY_BE_INLINE = re.compile(r"[`\[/@#_]|\w[-.]\w|[a-z0-9][A-Z]|data:|\S{60}")
 STOP = re.compile(r"(?<=[.!?;])[\"'»”)\]*_]*\s+(?=[^\W\d_]|[\"'«“(¿¡*_\d`\[@])|(?<=[。！？])")
 FRONT = re.compile(r"\A\s*---[ \t]*\r?\n.*?\n---[ \t]*(?:\r?\n|\Z)", re.S)
 WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
@@ -117,9 +119,12 @@ def units(text: str | None) -> list[str]:
 
 def tokens(unit: str) -> list[str]:
     """Lower-case words of a unit, inline code, paths and names left out; runs of ideographs and kana are cut in pairs."""
-    plain = INLINE.sub(lambda m: m[1] or " ", unit)
+    plain = INLINE.sub(lambda m: m[1] or " ", unit) if MAY_BE_INLINE.search(unit) else unit
+    found = WORD.findall(plain.lower())
+    if not CJK.search(plain):
+        return [w for w in found if len(w) < 40]
     out: list[str] = []
-    for w in WORD.findall(plain.lower()):
+    for w in found:
         if CJK.search(w):
             out += [w[i : i + 2] for i in range(0, len(w), 2)]
         elif len(w) < 40:
@@ -160,16 +165,17 @@ class Model:
                 got = self.none
         return got - got.max()
 
-    def score(self, words: list[str], cache: dict[str, np.ndarray]) -> np.ndarray:
-        total = np.zeros(len(LANGUAGES))
+    def score(self, words: list[str], cache: dict[str, list[float]]) -> np.ndarray:
+        """Summed scores of the words; `cache` keeps those of words already met."""
+        rows = []
         for w in words:
             s = cache.get(w)
             if s is None:
-                s = self.word(w)
+                s = self.word(w).tolist()
                 if len(cache) < 200_000:
                     cache[w] = s
-            total = total + s
-        return total
+            rows.append(s)
+        return np.array([sum(column) for column in zip(*rows)]) if rows else np.zeros(len(LANGUAGES))
 
 
 def chances(score: np.ndarray) -> np.ndarray:
@@ -178,7 +184,7 @@ def chances(score: np.ndarray) -> np.ndarray:
     return e / e.sum()
 
 
-def judge(model: Model, unit: str, cache: dict[str, np.ndarray]) -> tuple[int, np.ndarray] | None:
+def judge(model: Model, unit: str, cache: dict[str, list[float]]) -> tuple[int, np.ndarray] | None:
     """(language number, score) of a unit; None when it is a phrase of under five words or no language stands out."""
     words = tokens(unit)
     if sum(map(len, words)) < 8 or len(words) < 5 and not CJK.search(unit):
@@ -194,7 +200,7 @@ def fit(rows: list[tuple[str | None, str]]) -> Model:
     model = None
     for _ in range(ROUNDS):
         counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(LANGUAGES)))
-        cache: dict[str, np.ndarray] = {}
+        cache: dict[str, list[float]] = {}
         for ws, label in sentences:
             at = label if model is None else int(model.score(ws, cache).argmax())
             for w in ws:
