@@ -16,7 +16,7 @@ SETUP = frozenset("cd pushd popd set export unset source . ulimit umask trap sho
 REPORT = frozenset("echo printf true : exit".split())
 VIEWERS = frozenset("head tail tee less more cat".split())
 WRAPPERS = frozenset("time command exec nohup builtin sudo env nice ionice timeout gtimeout stdbuf setsid chronic".split())
-WITH_VALUE = frozenset("-k --kill-after -s --signal -n --adjustment -u --user -i -o -e -c -p".split())
+WITH_VALUE = {"timeout": {"-k", "-s"}, "gtimeout": {"-k", "-s"}, "nice": {"-n"}, "ionice": {"-c", "-n", "-p"}, "sudo": {"-u", "-g", "-h", "-p"}, "env": {"-u", "-C"}, "stdbuf": {"-i", "-o", "-e"}, "exec": {"-a"}}
 
 LEX = re.compile(
     r"""(?P<skip>[ \t\r]+|\\\r?\n)
@@ -100,7 +100,7 @@ def _unwrap(words: list[str]) -> list[str]:
         elif words[0].rpartition("/")[2] in WRAPPERS:
             wrapper, words = words[0].rpartition("/")[2], words[1:]
             while words and (words[0].startswith("-") or wrapper == "env" and ASSIGN.match(words[0])):
-                words = words[2 if words[0] in WITH_VALUE else 1 :]
+                words = words[2 if words[0] in WITH_VALUE.get(wrapper, ()) else 1 :]
             if wrapper.endswith("timeout") and words and LIMIT.fullmatch(words[0]):
                 words = words[1:]
         else:
@@ -114,9 +114,10 @@ def command_key(cmd: str | None, depth: int = 0) -> str | None:
         return None
     every = _segments(cmd)
     kept: list[str] = []
+    said: list[str] = []  # echoes and the like: the command only where there is no other
     piped = False
     for before, words, redirects in every:
-        piped = before in ("|", "|&") and (piped or bool(kept)) and True
+        piped = before in ("|", "|&") and (piped or bool(kept))
         core = _unwrap(words)
         if not core:
             continue
@@ -125,8 +126,7 @@ def command_key(cmd: str | None, depth: int = 0) -> str | None:
             continue
         if program in SETUP and not piped:
             continue
-        if program in REPORT and not any(r.startswith(">") for r in redirects) and (kept or len(every) > 1 and before):
-            continue
+        quiet = program in REPORT and not any(r.startswith(">") for r in redirects)
         if program in ("bash", "sh", "zsh") and len(core) == 3 and re.fullmatch(r"-\w*c", core[1]) and depth < 4:
             kept.append(command_key(core[2], depth + 1) or "")
             continue
@@ -136,7 +136,8 @@ def command_key(cmd: str | None, depth: int = 0) -> str | None:
             text += [_stable(name), _stable(value)] if eq else [_stable(w)]
         if program in REPORT or program == "cat" and any(w.startswith("<<") for w in core):
             text += [_stable(r) for r in redirects if r.startswith(">") and "/dev/" not in r]
-        kept.append(("| " if piped else "") + "\x1f".join(text))
+        (said if quiet else kept).append(("| " if piped else "") + "\x1f".join(text))
+    kept = kept or said
     if not kept:
         return _stable(" ".join(w for _, words, _ in every for w in words))
     return "\x1e".join(kept)

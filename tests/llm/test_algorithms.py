@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from stratalog.llm import commands, req, runs, tokenize
 
 SAME = [
-    ["git status", " git \\\n  status", "time git status;", "cd ~/work/app && git status 2>&1 | tail -40", "set -e\ngit status", "# x\ngit status # y", "FORCE_COLOR=0 \\\n  git  status || true", "timeout 60 git status && echo ok; echo exit=$?", "git status > /tmp/x.log", "(git status)", "bash -lc 'git status'", "export A=1; git status", "nice -n 10 git status"],
+    ["git status", " git \\\n  status", "time git status;", "cd ~/work/app && git status 2>&1 | tail -40", "set -e\ngit status", "# x\ngit status # y", "FORCE_COLOR=0 \\\n  git  status || true", "timeout 60 git status && echo ok; echo exit=$?", "git status > /tmp/x.log", "(git status)", "bash -lc 'git status'", "export A=1; git status", "nice -n 10 git status", "time -p git status", "sudo -u me git status", "echo start; git status", "stdbuf -oL git status", "timeout -s KILL 5 git status"],
     ['rg -n "a b" x', "rg -n 'a b' x", "rg -n a\\ b x"], ["cp a /tmp/out-35e5be49.log", "cp a /tmp/tmp.CDTIkr", "cp a /var/tmp/b37b3a89-63e5-45d1-a648-9e3c13905485"], ["docker build -t x:1767546729 ui", "docker build -t x:1782013171 ui"], ["bun --filter=web", "bun --filter web"],
 ]
 OTHER = ["git show 00dd56b1", "git show aedcf9d4", "cat /tmp/foo.txt", "cat /tmp/bar.txt", "gh run view 299950", "gh run view 299951", "a && b", "a", "echo hi", "echo ho", "echo 'x' >> a.csv", "echo 'x' >> b.csv", "cd x", "cd y", "export A=1", "a | grep x", "a | grep y", "", "a b", "'a b'"]
