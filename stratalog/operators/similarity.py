@@ -69,6 +69,28 @@ def related(class_rows: DataFrame) -> DataFrame:
     return rows.withColumns({"jaccard": F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), "containment": F.col("shared") / F.least("na", "nb")})
 
 
+#: Rows of one shingle that meet in one place; longer lists are cut in blocks, and each pair of blocks is a place of its own.
+BLOCK = 2_000
+
+
+def alike(class_rows: DataFrame, jaccard: float, containment: float, block: int = BLOCK) -> DataFrame:
+    """As `related`, of pairs with at least that Jaccard similarity or that containment; for groups of any size.
+
+    Shingles of one class alone are left out before the join and blocks of hot ones meet pair by pair, so no task has a whole square. A pair out of reach by
+    its sizes alone can still be a containment, and one with a single shared shingle is judged by its counts, which are combined before they are shuffled.
+    """
+    h = class_rows.select("grp", "cls", F.size("s").alias("n"), F.explode("s").alias("h"))
+    df = h.groupBy("grp", "h").agg(F.count("*").alias("df")).where("df > 1")
+    h = h.join(df, ["grp", "h"]).withColumn("of", F.ceil(F.col("df") / block).cast("int")).withColumn("at", F.pmod(F.xxhash64("cls"), F.col("of")).cast("int"))
+    places = F.explode(F.sequence(F.lit(0), F.col("of") - 1))
+    a = h.withColumn("other", places).select("grp", "h", F.col("at").alias("x"), F.col("other").alias("y"), F.col("cls").alias("a"), F.col("n").alias("na"))
+    b = h.withColumn("other", places).select("grp", "h", F.col("other").alias("x"), F.col("at").alias("y"), F.col("cls").alias("b"), F.col("n").alias("nb"))
+    met = a.join(b, ["grp", "h", "x", "y"]).where("a < b")
+    rows = met.groupBy("grp", "a", "b").agg(F.count("*").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    rows = rows.withColumns({"jaccard": F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), "containment": F.col("shared") / F.least("na", "nb")})
+    return rows.where((F.col("jaccard") >= jaccard) | (F.col("containment") >= containment))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): connected components, root the smallest node.
 

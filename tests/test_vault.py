@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from stratalog.operators import similarity as M
 from stratalog.operators import vault as V
+from stratalog.plans import vault as P
 from stratalog.render import sinks
 
 GOOD = "---\nname: {0}\ndescription: d\ntype: user\n---\n"
@@ -81,6 +82,32 @@ def test_pairs_like_brute_force(spark):
     assert want and {(r.a, r.b) for r in M.pairs(M.classes(rows)).collect()} == want
 
 
+def test_alike_like_brute_force(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices("abcd", k=rng.choice([3, 5, 8, 40]))) for _ in range(60)]
+    shingle = lambda t: frozenset(tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2))
+    sets = {i: shingle(t) for i, t in enumerate(texts)}
+    first = sorted({min(j for j, s in sets.items() if s == mine) for mine in sets.values()})
+    shared = {(a, b): len(sets[a] & sets[b]) for a, b in itertools.combinations(first, 2)}
+    jaccard = {p: n / len(sets[p[0]] | sets[p[1]]) for p, n in shared.items()}
+    inside = {p: n / min(len(sets[p[0]]), len(sets[p[1]])) for p, n in shared.items()}
+    c = M.classes(M.sets(docs(spark, texts), "id", "text", 3))
+    for j, k in ((0.18, 2), (2, 0.7), (0.08, 2)):
+        want = {p for p in shared if jaccard[p] >= j or inside[p] >= k}
+        assert want and {(r.a, r.b) for r in M.alike(c, j, k, 7).collect()} == want  # blocks of 7: most shingles are hot
+
+
+def test_missing_links_between_notes(spark, tmp_path):
+    same = " ".join(f"w{i}" for i in range(11))
+    text = lambda i, more="": f"{same} " + " ".join(f"n{i}x{k}" for k in range(40)) + more
+    rows = [(1, "v", "one", text(1, " [[two]]")), (2, "v", "two", text(2)), (3, "v", "three", text(3)), (4, "w", "four", text(4)), (5, "v", "five", text(2)), (6, "v", None, None)]
+    spark.createDataFrame(rows, "doc_id bigint, source string, slug string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = lambda: {(r.a, r.b) for r in P.note_missing_link(spark, str(tmp_path)).collect()}
+    assert got() == {(1, 2), (1, 3), (2, 3)}  # 5 is a copy of 2 that 1 doesn't link
+    spark.createDataFrame([(7, "x", "p", text(7, " [[q]]")), (8, "x", "q", text(8)), (9, "x", "r", text(9, " [[p]]"))], "doc_id bigint, source string, slug string, text string").write.mode("append").parquet(str(tmp_path / "documents.parquet"))
+    assert got() == {(1, 2), (1, 3), (2, 3), (8, 9)}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r.node: r.root for r in M.components(spark.createDataFrame(edges, "a int, b int")).collect()}
