@@ -10,7 +10,6 @@ from stratalog.functions import redaction, shell
 from stratalog.functions import text as T
 from stratalog.operators import assets as A
 from stratalog.operators import events as E
-from stratalog.operators import ranking as R
 from stratalog.plans.catalogue import Catalogue
 from stratalog.plans.people import _quote
 from stratalog.sources import facts
@@ -154,11 +153,9 @@ def secret_findings(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def normalize_command(spark: SparkSession, sf: str) -> DataFrame:
-    """Families of the commands as typed, by calls."""
+    """Family, program, masked text, chain length and background of each command as typed."""
     f = shell.normalize_udf()
-    n = facts.bash(spark, sf).where("cmd is not null").select(f("cmd").alias("n")).select("n.*")
-    g = n.groupBy("family").agg(F.count("*").alias("calls"), F.max("chain_length").alias("longest"), F.count_if("background").alias("background"))
-    return R.ranking(g, "calls", "family", 100)
+    return facts.bash(spark, sf).where("cmd is not null").select("row_id", f("cmd").alias("n")).select("row_id", "n.*")
 
 
 @query(with_facts("b", "SELECT row_id, upper(bin) AS bin, regexp_replace(family, '\\d+$', '') AS stem, coalesce(nullif(trim(\"desc\"), ''), 'none') AS note FROM b"))

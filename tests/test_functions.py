@@ -107,3 +107,12 @@ def test_sql_names(spark):
     register.register(spark)
     row = spark.sql("""SELECT normalize_command('cd x && git log -1').family AS f, redact('AUTH_TOKEN=abc123def456ghi789') AS r, entropy('ab') AS e, pretty_json('{"a":1}') AS p, secret_line('x') AS s, parse_frontmatter('x').shape AS m""").first()
     assert (row.f, row.r, row.e, row.p, row.s, row.m) == ("git log", "AUTH_TOKEN=[REDACTED]", 1.0, '{\n  "a": 1\n}', None, "none")
+
+
+def test_commands_of_all_families(spark, tmp_path):
+    from stratalog.plans import misc
+
+    rows = [(i, f"tool{i} run --x {i}") for i in range(120)] + [(0, "tool0 run --x 0"), (500, None)]
+    spark.createDataFrame(rows, "row_id bigint, cmd string").write.parquet(str(tmp_path / "bash_rows.parquet"))
+    got = {r.row_id: r for r in misc.normalize_command(spark, str(tmp_path)).collect()}
+    assert len(got) == len({r.family for r in got.values()}) == 120 and all(r.normalized and r.chain_length == 1 for r in got.values())
