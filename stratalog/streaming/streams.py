@@ -20,13 +20,17 @@ from stratalog.sources.tables import shared_folder
 LATE = "30 days"
 
 
-def rows(spark: SparkSession, path: str, per_trigger: int = 64) -> DataFrame:
+def rows(spark: SparkSession, path: str, per_trigger: int | None = None) -> DataFrame:
     """A parquet table as a stream of its files; the schema is read once from the table.
 
+    A stored table isn't ordered by time, so all its files come in one trigger: the watermark moves only after it, and no row is late. With
+    `per_trigger`, for files that arrive in order, rows of later triggers may be.
+
     A file stream wants a folder or a pattern, so a table that is a single file is named by a pattern that only it fits.
     """
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_trigger).parquet(f"{path[:-1]}[{path[-1]}]")
+    stream = spark.readStream.schema(schema)
+    return (stream.option("maxFilesPerTrigger", per_trigger) if per_trigger else stream).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def timed(df: DataFrame, late: str = LATE, key: str = "row_id") -> DataFrame:

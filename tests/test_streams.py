@@ -1,8 +1,13 @@
 """Streams over files against their batch twins."""
 
+import os
+
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from stratalog.operators import sequences as S
+from stratalog.plans import streams
 from stratalog.streaming import streams as Z
 
 SCHEMA = "row_id bigint, sid string, bin string, t bigint, family string, cmd string, err boolean, tool string, durSec double"
@@ -44,3 +49,16 @@ def test_lost_and_joined(spark, tmp_path):
     side = lambda n: Z.rows(spark, str(tmp_path / f"{n}.parquet"), 1).withColumn("ts", F.timestamp_seconds("t"))
     joined = Z.drain(Z.join_results(side("a"), side("b"))).where("sid = 's'")
     assert {(r.id, r.answered is not None) for r in joined.collect()} == {("1", True), ("2", False)}
+
+
+def test_many_files_out_of_order(spark, tmp_path):
+    folder = tmp_path / "tool_rows.parquet"
+    folder.mkdir()
+    day = 86_400
+    rows = [(i, "s", "git", BASE + (40 * day if i < 66 else 0) + i, "f", "c", False, "Bash", 1.0) for i in range(70)] + [(70, "s", "git", BASE + 200 * day, "f", "c", False, "Bash", 1.0)]
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    for k, r in enumerate(rows[66:70] if k == 65 else [rows[70 if k == 0 else k]] for k in range(66)):
+        pq.write_table(pa.Table.from_pylist([dict(zip(names, x)) for x in r]), folder / f"p{k:02}.parquet")
+        os.utime(folder / f"p{k:02}.parquet", (10**9 + k, 10**9 + k))
+    got = streams.stream_wall_tumbling(spark, str(tmp_path))
+    assert got.agg(F.sum("calls")).first()[0] == 68  # 64 rows of the 65 files in front are over 30 days before the last, and 4 long before those
