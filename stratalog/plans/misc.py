@@ -170,4 +170,10 @@ def html_escape(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").where("text is not null").select("doc_id", T.escape_html(F.substring("text", 1, 200)).alias("html"))
 
 
+@query("SELECT doc_id, sha1(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')) AS sha FROM documents WHERE text IS NOT NULL")
+def html_escape_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Each whole document escaped, as its digest."""
+    return table(spark, sf, "documents").where("text is not null").select("doc_id", F.sha1(T.escape_html(F.col("text")).cast("binary")).alias("sha"))
+
+
 QUERIES, ORACLES = query.queries, query.oracles

@@ -116,3 +116,14 @@ def test_commands_of_all_families(spark, tmp_path):
     spark.createDataFrame(rows, "row_id bigint, cmd string").write.parquet(str(tmp_path / "bash_rows.parquet"))
     got = {r.row_id: r for r in misc.normalize_command(spark, str(tmp_path)).collect()}
     assert len(got) == len({r.family for r in got.values()}) == 120 and all(r.normalized and r.chain_length == 1 for r in got.values())
+
+
+def test_html_behind_character_200(spark, tmp_path):
+    import hashlib
+
+    from stratalog.plans import misc
+
+    texts = ["x" * 300 + f"<b a='{c}'>&" for c in "yz"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.sha for r in misc.html_escape_whole(spark, str(tmp_path)).collect()}
+    assert got == {i: hashlib.sha1(("x" * 300 + f"&lt;b a=&#39;{c}&#39;&gt;&amp;").encode()).hexdigest() for i, c in enumerate("yz")}
