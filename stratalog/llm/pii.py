@@ -11,14 +11,17 @@ that consist of them are removed. Words of trade never get there, however often
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A term is sensitive when at least this share of its occurrences, and this many, are in protected entities.
+from stratalog.sources.tables import checkpointed
+
+#: A term is sensitive when at least this share of its occurrences, and this many, are in protected entities; a phrase with a cue needs the share alone.
 DISCLOSURE, SUPPORT = 0.12, 3
 #: Sensitive terms that are broadcast; beyond that candidates are joined with them instead.
 BROADCAST_TERMS = 500_000
@@ -77,6 +80,8 @@ _I = r"[^\W\d_]\."
 #: given [initial] family | family, given [initial] | initial(s) family
 NAME = re.compile(rf"(?<![\w@./\\-])(?:(?P<a>{_T})[  ](?:{_I}[  ]?)?(?P<b>{_T})|(?P<c>{_T}),[  ](?P<d>{_T}|{_I})(?:[  ]{_I})?|(?:{_I}[  ]?){{1,2}}(?P<e>{_T}))(?![\w@\\/]|-\w|\.\w)")
 CUE = re.compile(r"(?:author(?:=|:|\s+)|-by:|\bFN:|\"name\":|\bowner:|\bfrom:|\bcc:|\bto:|\bperson:)\s*[\"']?\Z", re.I)
+#: Cues that nothing but a person follows; other fields also name teams, steps and places.
+AUTHOR = re.compile(r"(?:author[=:]|-by:|\bFN:)\s*[\"']?\Z", re.I)
 BOUND = re.compile(r"\A[\s\"',;|:<(\[]{1,4}\Z")
 PARTS = re.compile(r"[^\W\d_]{3,}")
 
@@ -105,8 +110,22 @@ def spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(found)
 
 
-def candidates(text: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str, str | None, bool]]:
-    """(start, end, one term, other term or None for an initial, cue) of all name-shaped phrases outside the spans; they may overlap."""
+def _plain(term: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", term.lower()) if c.isalpha())
+
+
+def own(email: str, terms: list[str]) -> bool:
+    """Whether the local part holds one of the terms, or is their initials."""
+    local = _plain(_local(email))
+    plain = [_plain(t) for t in terms]
+    return any(len(t) > 2 and t in local for t in plain) or len(plain) > 1 and local in {"".join(t[:1] for t in plain), "".join(t[:1] for t in reversed(plain))}
+
+
+def candidates(text: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str, str | None, int]]:
+    """(start, end, one term, other term or None for an initial, cue) of all name-shaped phrases outside the spans; they may overlap.
+
+    cue is 0 for none, 1 for a field or an entity right behind the phrase, 2 for an author's field or the person's own e-mail.
+    """
     masked = text
     if taken:
         chars = list(text)
@@ -117,7 +136,10 @@ def candidates(text: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[i
     while m := NAME.search(masked, at):
         a, b = m.span()
         one, other = m["a"] or m["c"] or m["e"], m["b"] or (m["d"] if m["d"] and len(m["d"].rstrip(".")) > 1 else None)
-        cue = bool(CUE.search(text, max(0, a - 16), a)) or any(0 < s - b <= 4 and BOUND.match(text[b:s]) for s, _, _ in taken)
+        behind = [(s, e, k) for s, e, k in taken if 0 < s - b <= 4 and BOUND.match(text[b:s])]
+        cue = 1 if behind or CUE.search(text, max(0, a - 16), a) else 0
+        if cue and (AUTHOR.search(text, max(0, a - 16), a) or any(k == "email" and own(text[s:e], [one, other] if other else [one]) for s, e, k in behind)):
+            cue = 2
         yield a, b, one, other, cue
         # The next may begin at this one's second word.
         nxt = re.compile(r"[^\W_]+").search(masked, a)
@@ -128,41 +150,63 @@ def _capital(term: str) -> bool:
     return term[:1].isupper()
 
 
-def counts(text: str) -> Iterator[tuple[str, int, int]]:
-    """(term, occurrences, protected ones), terms in lower case."""
+def _local(email: str) -> str:
+    return re.split(r"@|\s*[(\[{<]|\s", email)[0]
+
+
+def protected(text: str) -> dict[str, int]:
+    """Occurrences in protected entities of each term that has any, terms in lower case."""
     taken = spans(text)
-    every = Counter(w.lower() for w in WORD.findall(text))
     guarded: Counter = Counter()
     for a, b, kind in taken:
         if kind == "email":
-            local = re.split(r"@|\s*[(\[{<]|\s", text[a:b])[0]
-            guarded.update(p.lower() for p in PARTS.findall(local))
+            guarded.update(p.lower() for p in PARTS.findall(_local(text[a:b])))
     for _, _, one, other, cue in candidates(text, taken):
         if cue and _capital(one) and (other is None or _capital(other)):
             for t in (one, other):
                 if t:
                     guarded.update(p.lower() for p in PARTS.findall(t))
-    for term, n in every.items():
-        yield term, n, min(n, guarded[term])
+    if not guarded:
+        return {}
+    every = Counter(w.lower() for w in WORD.findall(text))
+    return {t: min(every[t], n) for t, n in guarded.items() if every[t]}
+
+
+KEYS = ["tbl", "row_id", "field"]
 
 
-def disclosure(texts: DataFrame) -> DataFrame:
-    """(term, n, guarded, share) of the sensitive terms, from all texts; counts are summed in the batch before they are shuffled."""
+def _per_row(texts: DataFrame, count: Callable[[str], dict[str, int]], name: str) -> DataFrame:
+    """(term, name): counts of the terms over the rows, each row once whatever its deliveries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, g = Counter(), Counter()
-            for text in batch.column(0).to_pylist():
-                if text:
-                    for term, every, guarded in counts(text):
-                        n[term] += every
-                        if guarded:
-                            g[term] += guarded
-            terms = list(n)
-            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([n[t] for t in terms], pa.int64()), pa.array([g[t] for t in terms], pa.int64())], names=["term", "n", "guarded"])
+            out = [(tbl, row, field, t, n) for tbl, row, field, text in zip(*[c.to_pylist() for c in batch.columns]) if text for t, n in count(text).items()]
+            if out:
+                types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[*KEYS, "term", "k"])
+
+    rows = texts.select(*KEYS, "text").mapInArrow(run, "tbl string, row_id bigint, field string, term string, k bigint")
+    return rows.groupBy(*KEYS, "term").agg(F.max("k").alias("k")).groupBy("term").agg(F.sum("k").alias(name))
+
+
+def disclosure(texts: DataFrame, limit: int = BROADCAST_TERMS) -> DataFrame:
+    """(term, n, guarded, share) of the terms that disclose a person, from all texts.
 
-    table = texts.select("text").mapInArrow(run, "term string, n bigint, guarded bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("guarded").alias("guarded"))
-    return table.withColumn("share", F.col("guarded") / F.col("n")).where((F.col("guarded") >= SUPPORT) & (F.col("share") >= DISCLOSURE))
+    Only terms that are protected anywhere are counted elsewhere, so (row, term) pairs of those few are shuffled. More than `limit` of them are joined.
+    """
+    guarded = checkpointed(_per_row(texts, protected, "guarded"))
+    few = guarded.select("term").limit(limit + 1).collect()
+    shared = texts.sparkSession.sparkContext.broadcast({r.term for r in few}) if len(few) <= limit else None
+
+    def every(text: str) -> dict[str, int]:
+        words = map(str.lower, WORD.findall(text))
+        if shared is None:
+            return Counter(words)
+        known = shared.value
+        return Counter(w for w in words if w in known)
+
+    table = guarded.join(_per_row(texts, every, "n"), "term")
+    return table.withColumn("share", F.col("guarded") / F.col("n")).where(F.col("share") >= DISCLOSURE).select("term", "n", "guarded", "share")
 
 
 def _sensitive(term: str, terms: set[str]) -> bool:
@@ -170,18 +214,19 @@ def _sensitive(term: str, terms: set[str]) -> bool:
     return t in terms or ("-" in t or "'" in t or "’" in t) and any(p in terms for p in PARTS.findall(t))
 
 
-def named(text: str, taken: list[tuple[int, int, str]], terms: set[str]) -> list[tuple[int, int, str]]:
-    """Spans of the names in a text."""
+def named(text: str, taken: list[tuple[int, int, str]], terms: set[str], rare: set[str]) -> list[tuple[int, int, str]]:
+    """Spans of the names in a text. `terms` are sensitive, `rare` have the share but not the support, which only counts beside a cue."""
     out: list[tuple[int, int, str]] = []
     for a, b, one, other, cue in candidates(text, taken):
         if out and a < out[-1][1]:
             continue
         sure = _sensitive(one, terms)
+        capital = _capital(one) and (other is None or _capital(other))
+        told = capital and (cue == 2 or cue == 1 and any(_sensitive(t, terms) or _sensitive(t, rare) for t in (one, other) if t))
         if other is None:
-            ok = sure and _capital(one)
+            ok = sure and capital or told
         else:
-            both = _sensitive(other, terms)
-            ok = sure and both or cue and (sure or both) and _capital(one) and _capital(other)
+            ok = sure and _sensitive(other, terms) or told
         if ok:
             out.append((a, b, "name"))
     return out
@@ -203,10 +248,11 @@ def gather(tables: dict[tuple[str, str], DataFrame]) -> DataFrame:
     return out
 
 
-def _terms(texts: DataFrame, limit: int) -> list[set[str]] | None:
-    """The sensitive terms, if there are few enough to broadcast."""
-    rows = disclosure(texts).select("term").limit(limit + 1).collect()
-    return None if len(rows) > limit else {r.term for r in rows}
+def _terms(texts: DataFrame, limit: int) -> tuple[DataFrame, tuple[set[str], set[str]] | None]:
+    """The terms (term, sensitive), and both kinds as sets, if there are few enough to broadcast."""
+    table = checkpointed(disclosure(texts, limit).select("term", (F.col("guarded") >= SUPPORT).alias("sensitive")))
+    rows = table.limit(limit + 1).collect()
+    return table, None if len(rows) > limit else ({r.term for r in rows if r.sensitive}, {r.term for r in rows if not r.sensitive})
 
 
 FOUND = "tbl string, row_id bigint, field string, kind string"
@@ -215,11 +261,11 @@ FOUND = "tbl string, row_id bigint, field string, kind string"
 def find(texts: DataFrame, limit: int = BROADCAST_TERMS) -> DataFrame:
     """(tbl, row_id, field, kind), distinct: the field holds at least one item of that kind.
 
-    Repeated deliveries give one row; empty texts none. Two narrow passes over the texts, which are never shuffled.
+    Repeated deliveries give one row; empty texts none. Three narrow passes over the texts, which are never shuffled unless the terms are too many.
     """
-    terms = _terms(texts, limit)
+    table, terms = _terms(texts, limit)
     if terms is None:
-        return _find_by_join(texts)
+        return _find_by_join(texts, table)
     shared = texts.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +275,7 @@ def find(texts: DataFrame, limit: int = BROADCAST_TERMS) -> DataFrame:
             for tbl, row, field, text in zip(*[c.to_pylist() for c in batch.columns]):
                 taken = spans(text)
                 kinds = {k for _, _, k in taken}
-                if named(text, taken, known):
+                if named(text, taken, *known):
                     kinds.add("name")
                 out += [(tbl, row, field, k) for k in kinds]
             if out:
@@ -243,38 +289,45 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["tbl", "row_id", "field", "kind"])
 
 
-def _find_by_join(texts: DataFrame) -> DataFrame:
-    """The same without a broadcast: every name-shaped phrase is joined with the terms it consists of."""
-    schema = FOUND + ", one string, other string, firm boolean, initial boolean"
+def _with_terms(texts: DataFrame, table: DataFrame) -> DataFrame:
+    """The texts with the terms that name-shaped phrases of each consist of, sensitive ones and others; instead of a broadcast."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for tbl, row, field, text in zip(*[c.to_pylist() for c in batch.columns]):
+                words = {w for _, _, one, other, _ in candidates(text, spans(text)) for t in (one, other) if t for w in (t.lower(), *PARTS.findall(t.lower()))}
+                out += [(tbl, row, field, w) for w in words]
+            if out:
+                types = (pa.string(), pa.int64(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[*KEYS, "term"])
+
+    hits = texts.select(*KEYS, "text").mapInArrow(run, "tbl string, row_id bigint, field string, term string").distinct().join(table, "term")
+    sets = hits.groupBy(*KEYS).agg(F.collect_list(F.when(F.col("sensitive"), F.col("term"))).alias("terms"), F.collect_list(F.when(~F.col("sensitive"), F.col("term"))).alias("rare"))
+    return texts.select(*KEYS, "text").join(sets, KEYS, "left")
+
+
+def _find_by_join(texts: DataFrame, table: DataFrame) -> DataFrame:
+    """The same without a broadcast: every name-shaped phrase is joined with the terms it consists of."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for tbl, row, field, text, terms, rare in zip(*[c.to_pylist() for c in batch.columns]):
                 taken = spans(text)
-                out += [(tbl, row, field, k, None, None, True, False) for k in {k for _, _, k in taken}]
-                for _, _, one, other, cue in candidates(text, taken):
-                    if other is not None or _capital(one):
-                        firm = cue and _capital(one) and _capital(other or "X")
-                        for x in [one.lower(), *(PARTS.findall(one.lower()) if "-" in one else [])]:
-                            for y in [other.lower(), *(PARTS.findall(other.lower()) if "-" in other else [])] if other else [None]:
-                                out.append((tbl, row, field, "name", x, y, firm, other is None))
-            types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_())
+                kinds = {k for _, _, k in taken}
+                if named(text, taken, set(terms or ()), set(rare or ())):
+                    kinds.add("name")
+                out += [(tbl, row, field, k) for k in kinds]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["tbl", "row_id", "field", "kind", "one", "other", "firm", "initial"])
+                yield _batch(out)
 
-    hits = texts.mapInArrow(run, schema).distinct()
-    terms = disclosure(texts).select("term")
-    a, b = terms.select(F.col("term").alias("one"), F.lit(True).alias("a")), terms.select(F.col("term").alias("other"), F.lit(True).alias("b"))
-    names = hits.where("kind = 'name'").join(a, "one", "left").join(b, "other", "left")
-    names = names.where("(initial and a) or (a and b) or (firm and (a or b))")
-    keys = ["tbl", "row_id", "field", "kind"]
-    return hits.where("kind <> 'name'").select(*keys).unionByName(names.select(*keys)).distinct()
+    return _with_terms(texts, table).mapInArrow(run, FOUND).distinct()
 
 
 def sanitise(texts: DataFrame, limit: int = BROADCAST_TERMS) -> DataFrame:
     """(tbl, row_id, field, text) with typed placeholders; every row stays, once for each delivery."""
-    terms = _terms(texts, limit)
+    _, terms = _terms(texts, limit)
     if terms is None:
         raise ValueError(f"more than {limit} sensitive terms: raise the limit, or the thresholds")
     shared = texts.sparkSession.sparkContext.broadcast(terms)
@@ -285,7 +338,7 @@ def sanitise(texts: DataFrame, limit: int = BROADCAST_TERMS) -> DataFrame:
             clean = []
             for text in batch.column(3).to_pylist():
                 taken = spans(text)
-                clean.append(redact(text, taken + named(text, taken, known)))
+                clean.append(redact(text, taken + named(text, taken, *known)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(clean, pa.string())], names=["tbl", "row_id", "field", "text"])
 
     return texts.mapInArrow(run, "tbl string, row_id bigint, field string, text string")

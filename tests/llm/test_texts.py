@@ -57,6 +57,16 @@ def corrupt(words, edits, rng):
     return words
 
 
+def test_names_told_once(spark):
+    told = ["Zora Quill <zora.quill@example.org> wrote it", "Author: Ilse Vandermeer", "Mark Brown <mbrown@example.org>", "from: Petra Quandt"]
+    plain = ['"name": "Run Tests"'] + ["mark the brown line and mark it again, brown on brown, mark", "run tests, run tests, run tests and run tests, run tests"] * 3
+    df = spark.createDataFrame(list(enumerate(told + plain)), "row_id bigint, text string")
+    texts = pii.gather({("m", "text"): df})
+    found = lambda t: {r.row_id for r in pii.find(t).where("kind = 'name'").collect()}
+    assert found(texts) == found(texts.unionByName(texts).unionByName(texts)) == {0, 1, 2, 3}
+    assert {r.row_id: r.text for r in pii.sanitise(texts).collect()}[2] == "[NAME] <[EMAIL]>"
+
+
 def test_leaks_of_edited_passages():
     rng = random.Random(6)
     for _ in range(150):
