@@ -325,11 +325,26 @@ def _find_by_join(texts: DataFrame, table: DataFrame) -> DataFrame:
     return _with_terms(texts, table).mapInArrow(run, FOUND).distinct()
 
 
+CLEAN = "tbl string, row_id bigint, field string, text string"
+
+
+def _sanitise_by_join(texts: DataFrame, table: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = []
+            for text, terms, rare in zip(*[c.to_pylist() for c in batch.columns[3:]]):
+                taken = spans(text)
+                clean.append(redact(text, taken + named(text, taken, set(terms or ()), set(rare or ()))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(clean, pa.string())], names=[*KEYS, "text"])
+
+    return _with_terms(texts, table).mapInArrow(run, CLEAN)
+
+
 def sanitise(texts: DataFrame, limit: int = BROADCAST_TERMS) -> DataFrame:
     """(tbl, row_id, field, text) with typed placeholders; every row stays, once for each delivery."""
-    _, terms = _terms(texts, limit)
+    table, terms = _terms(texts, limit)
     if terms is None:
-        raise ValueError(f"more than {limit} sensitive terms: raise the limit, or the thresholds")
+        return _sanitise_by_join(texts, table)
     shared = texts.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,4 +356,4 @@ def sanitise(texts: DataFrame, limit: int = BROADCAST_TERMS) -> DataFrame:
                 clean.append(redact(text, taken + named(text, taken, *known)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(clean, pa.string())], names=["tbl", "row_id", "field", "text"])
 
-    return texts.mapInArrow(run, "tbl string, row_id bigint, field string, text string")
+    return texts.mapInArrow(run, CLEAN)

@@ -57,6 +57,17 @@ def corrupt(words, edits, rng):
     return words
 
 
+def test_joined_terms_like_broadcast_ones(spark):
+    names = ["Ugo Dell'Acqua", "Ada Dall’Orsi", "Eva Lind-Holm"]
+    told = [f"{n} <{n.split()[0].lower()}.{p}@example.org>" for n, p in zip(names, ["dell.acqua", "dall.orsi", "lind.holm"]) for _ in range(4)]
+    rows = list(enumerate([*told, *(f"ask {n} about it" for n in names), "nobody here", ""]))
+    texts = pii.gather({("m", "text"): spark.createDataFrame(rows + rows[:1], "row_id bigint, text string")})
+    broadcast = sorted(tuple(r) for r in pii.find(texts).collect())
+    assert {r[1] for r in broadcast if r[3] == "name"} == set(range(15))
+    assert sorted(tuple(r) for r in pii.find(texts, limit=0).collect()) == broadcast
+    assert sorted(tuple(r) for r in pii.sanitise(texts, limit=0).collect()) == sorted(tuple(r) for r in pii.sanitise(texts).collect())
+
+
 def test_names_told_once(spark):
     told = ["Zora Quill <zora.quill@example.org> wrote it", "Author: Ilse Vandermeer", "Mark Brown <mbrown@example.org>", "from: Petra Quandt"]
     plain = ['"name": "Run Tests"'] + ["mark the brown line and mark it again, brown on brown, mark", "run tests, run tests, run tests and run tests, run tests"] * 3
