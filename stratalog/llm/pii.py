@@ -100,7 +100,8 @@ def spans(text: str) -> list[tuple[int, int, str]]:
 
     if "@" in text:
         take(EMAIL, "email")
-    if "at" in text or "AT" in text or "arroba" in text:
+    low = text.lower()
+    if any(sign in low for sign in ("at", "ät", "arroba", "chez")):
         take(SPELLED, "email")
     if any(c.isdigit() for c in text):
         take(ADDRESS, "address")

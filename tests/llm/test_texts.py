@@ -57,6 +57,11 @@ def corrupt(words, edits, rng):
     return words
 
 
+@pytest.mark.parametrize("text", ["vera.holm (ät) firma (punkt) de", "vera.holm (At) firm (dot) com", "vera.holm (Arroba) firm (punto) es", "nom [chez] domaine [point] fr"])
+def test_spelled_signs(text):
+    assert [k for _, _, k in pii.spans(text)] == ["email"]
+
+
 def test_joined_terms_like_broadcast_ones(spark):
     names = ["Ugo Dell'Acqua", "Ada Dall’Orsi", "Eva Lind-Holm"]
     told = [f"{n} <{n.split()[0].lower()}.{p}@example.org>" for n, p in zip(names, ["dell.acqua", "dall.orsi", "lind.holm"]) for _ in range(4)]
