@@ -61,7 +61,9 @@ NOT_TEXT = re.compile(
 JSON_TEXT = re.compile(r"\"(?:input|text|content|prompt|body)\"\s*:\s*\"((?:\\.|[^\"\\])*)\"")
 HTML_LINE = re.compile(r"^\s*</?(?:p|b|i|em|strong|li|ul|ol|div|span|blockquote|br|h\d)\b", re.I)
 TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
-INLINE = re.compile(r"```[^`]*```|`[^`\n]*`|\[\[[^\]\n]*\]\]|!?\[([^\]\n]*)\]\([^)\n]*\)|https?://\S+|data:\S+|\S{60,}|\b[\w.+-]+@[\w.-]+\b|(?<![\w])[@~.]?/?(?:[\w.-]+/)+[\w.-]*|\b\w+\.(?:py|ts|tsx|js|go|rs|md|json|sql|yml|yaml|txt|sh|toml|log)\b|\b[a-z0-9]+(?:[A-Z][a-z0-9]*)+\b|\b\w+_\w+\b|\b[a-z]+-[a-z]+(?=\b)|@\S+|#\d+")
+#: Japanese has no blanks, so the runs of INLINE that end at one stop at its letters and signs too.
+_RUN = r"[^\s\u3000-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uff00-\uffef]"
+INLINE = re.compile(r"```[^`]*```|`[^`\n]*`|\[\[[^\]\n]*\]\]|!?\[([^\]\n]*)\]\([^)\n]*\)|https?://" + _RUN + r"+|data:" + _RUN + r"+|" + _RUN + r"{60,}|\b[\w.+-]+@[\w.-]+\b|(?<![\w])[@~.]?/?(?:[\w.-]+/)+[\w.-]*|\b\w+\.(?:py|ts|tsx|js|go|rs|md|json|sql|yml|yaml|txt|sh|toml|log)\b|\b[a-z0-9]+(?:[A-Z][a-z0-9]*)+\b|\b\w+_\w+\b|\b[a-z]+-[a-z]+(?=\b)|@\S+|#\d+")
 #: Signs without one of which INLINE matches nothing; they are looked for first, as that is much cheaper.
 MAY_BE_INLINE = re.compile(r"[`\[/@#_]|\w[-.]\w|[a-z0-9][A-Z]|data:|\S{60}")
 STOP = re.compile(r"(?<=[.!?;])[\"'»”)\]*_]*\s+(?=[^\W\d_]|[\"'«“(¿¡*_\d`\[@])|(?<=[。！？])")

@@ -191,3 +191,10 @@ def test_training_from_a_table(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
     assert language.mislabelled(df, language.train(df, sample=20)).count() == 0
     assert language.passages(df, language.train(df.where("false"))).count() == 0
+
+
+def test_long_japanese_sentences():
+    sentence = "この文書は毎日の作業の記録であり、昨日の会議で決まったことと今日の予定を短くまとめてから、関係する全員に送るために書かれたものであることを忘れないでください。"
+    assert len(sentence) > 60 and len(language.tokens(sentence)) > 20
+    assert language.tokens("https://example.org/a?b=c" + sentence) == language.tokens(sentence)
+    assert language.tokens("x" * 70) == language.tokens("https://example.org/a") == []
