@@ -54,6 +54,14 @@ SENSITIVE = set("KEY KEYS TOKEN TOKENS SECRET SECRETS PASSWORD PASSWD PWD PASS C
 DESCRIPTIVE = tuple("VERSION URL URI HOST PORT PATH DIR NAME ENABLED DISABLED MODE ENV REGION BASE ENDPOINT PROVIDER TYPE PUBLIC TIMEOUT COUNT LEVEL FORMAT PREFIX SUFFIX".split())
 CREDENTIAL = r"(?i)(password|passwd|pwd|secret|api[_-]?key|apikey|access[_-]?token|client[_-]?secret|auth[_-]?token|token)(\s*[:=]\s*)"
 NEAR = 48  # characters before a match in which a context word counts
+# Patterns of the guarded rules, by dialect where they differ.
+QUOTED_40 = r"(?i)((?:aws|secret|access)[^\n]{0,40}?[\"'])([A-Za-z0-9/+=]{40})([\"'])"
+TWILIO = r"\b(?:AC|SK)[0-9a-f]{32}\b"
+ASSIGNED = {PLAIN: r"(\"[^\"\n]*\"|'[^'\n]*'|[^\s\"']{6,})", LABELLED: r"((?<![\"'])[^\s\"']{6,}|\"[^\s\"']{6,}\"|'[^\s\"']{6,}')"}
+ENV_LINE = r"(?m)^([ \t]*(?:export[ \t]+)?)([A-Z][A-Z0-9_]*)([ \t]*=[ \t]*)"
+ENV_VALUE = {PLAIN: r"(\"[^\"]*\"|'[^']*'|\S+)", LABELLED: r"(.+)$"}
+BASE64_RUN, LONGEST_RUN, BASE64_ENTROPY = r"[A-Za-z0-9_-]{32,}={0,2}", 512, 3.5
+HEX_RUN, HEX_ENTROPY, QUOTED_ENTROPY = r"\b[0-9a-fA-F]{32,}\b", 3.0, 4.0
 
 
 def entropy(s: str) -> float:
@@ -102,7 +110,7 @@ def _in_context(m: re.Match) -> bool:
 
 
 def _aws(m: re.Match) -> tuple[int, int] | None:
-    return m.span(2) if entropy(m[2]) >= 4.0 else None
+    return m.span(2) if entropy(m[2]) >= QUOTED_ENTROPY else None
 
 
 def _assigned(m: re.Match) -> tuple[int, int] | None:
@@ -117,29 +125,31 @@ def _env(extra: frozenset[str]) -> Callable[[re.Match], tuple[int, int] | None]:
     return span
 
 
-def _random(least: float, sign: str) -> Callable[[re.Match], tuple[int, int] | None]:
-    def span(m: re.Match) -> tuple[int, int] | None:
-        v = m[0]
-        mixed = re.search(r"\d", v) and re.search(sign, v)
-        ok = len(v) <= 512 and not BLOB.match(v) and mixed and not dummy(v) and _in_context(m) and entropy(v) >= least
-        return m.span() if ok else None
+def _base64_run(m: re.Match) -> tuple[int, int] | None:
+    """A long run of base64 beside a credential's word; files that begin so, very long runs and stand-ins are left."""
+    v = m[0]
+    if len(v) > LONGEST_RUN or BLOB.match(v) or dummy(v) or not (re.search(r"\d", v) and re.search("[A-Za-z]", v)):
+        return None
+    return m.span() if _in_context(m) and entropy(v) >= BASE64_ENTROPY else None
 
-    return span
+
+def _hex_run(m: re.Match) -> tuple[int, int] | None:
+    """A hex run of any length beside a credential's word: the context, both kinds of digits and the entropy alone decide."""
+    v = m[0]
+    return m.span() if re.search(r"\d", v) and re.search("[a-fA-F]", v) and _in_context(m) and entropy(v) >= HEX_ENTROPY else None
 
 
 def _rules(dialect: str) -> list[Rule]:
     labelled = dialect == LABELLED
     rules = [Rule(re.compile(p), label, _whole) for p, label in SHAPES]
     rules += [Rule(re.compile(BEARER), "bearer-token", _after_first), Rule(re.compile(AUTH[dialect]), "basic-credentials", _after_first), Rule(re.compile(URL), "", _between)]
-    rules.append(Rule(re.compile(r"(?i)((?:aws|secret|access)[^\n]{0,40}?[\"'])([A-Za-z0-9/+=]{40})([\"'])"), "aws-secret-key", _aws))
+    rules.append(Rule(re.compile(QUOTED_40), "aws-secret-key", _aws))
     if labelled:
-        rules.append(Rule(re.compile(r"\b(?:AC|SK)[0-9a-f]{32}\b"), "twilio-id", lambda m: m.span() if "twilio" in m.string.lower() else None))
-    value = r"((?<![\"'])[^\s\"']{6,}|\"[^\s\"']{6,}\"|'[^\s\"']{6,}')" if labelled else r"(\"[^\"\n]*\"|'[^'\n]*'|[^\s\"']{6,})"
-    rules.append(Rule(re.compile(CREDENTIAL + value), "credential", _assigned))
-    line = r"(.+)$" if labelled else r"(\"[^\"]*\"|'[^']*'|\S+)"
-    rules.append(Rule(re.compile(r"(?m)^([ \t]*(?:export[ \t]+)?)([A-Z][A-Z0-9_]*)([ \t]*=[ \t]*)" + line), "env-secret", _env(frozenset({"PRIVATE"}) if labelled else frozenset())))
-    rules.append(Rule(re.compile(r"[A-Za-z0-9_-]{32,}={0,2}"), "high-entropy", _random(3.5, "[A-Za-z]")))
-    rules.append(Rule(re.compile(r"\b[0-9a-fA-F]{32,}\b"), "high-entropy-hex", _random(3.0, "[a-fA-F]")))
+        rules.append(Rule(re.compile(TWILIO), "twilio-id", lambda m: m.span() if "twilio" in m.string.lower() else None))
+    rules.append(Rule(re.compile(CREDENTIAL + ASSIGNED[dialect]), "credential", _assigned))
+    rules.append(Rule(re.compile(ENV_LINE + ENV_VALUE[dialect]), "env-secret", _env(frozenset({"PRIVATE"}) if labelled else frozenset())))
+    rules.append(Rule(re.compile(BASE64_RUN), "high-entropy", _base64_run))
+    rules.append(Rule(re.compile(HEX_RUN), "high-entropy-hex", _hex_run))
     return rules
 
 

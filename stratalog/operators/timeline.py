@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
@@ -105,7 +104,7 @@ def _line_events(line: dict, line_no: int) -> Iterator[tuple]:
 
 def pretty(value: object) -> str:
     """JSON with an indent of two, as tool inputs are shown and measured."""
-    return json.dumps(value, indent=2, ensure_ascii=False)
+    return L.dumps(value, indent=2, ascii_only=False)
 
 
 def _events(bodies: bool) -> Callable[[Iterator[tuple]], Iterator[tuple]]:

@@ -15,11 +15,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints that all executors share.
 
-    It is the one the cluster names in spark.checkpoint.dir; only when that is unset (tests, a laptop) a private one is made.
+    It is the one the cluster names in spark.checkpoint.dir. When that is unset a private one is made, but only in local
+    mode (tests, a laptop): on a cluster executors couldn't read it, so that is refused.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="stratalog-checkpoint-"))
     return sc.getCheckpointDir()
 

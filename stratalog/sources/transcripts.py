@@ -6,6 +6,8 @@ Layout: <root>/<project>/<sid>.jsonl, <project>/<sid>/subagents/agent-<id>.jsonl
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,11 +15,10 @@ from stratalog.functions import numbers as N
 from stratalog.functions import text as T
 from stratalog.operators import lines as L
 
-USAGE = "struct<input_tokens:bigint,output_tokens:bigint,cache_read_input_tokens:bigint,cache_creation_input_tokens:bigint>"
-LINE = (
-    "type string, timestamp string, cwd string, gitBranch string, version string, isSidechain string, isMeta string, isCompactSummary string, requestId string, "
-    f"message struct<id:string,model:string,usage:{USAGE},content:string>, toolUseResult string, aiTitle string, summary string, subtype string, content string, attachment string"
-)
+USAGE = ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens")
+HEAD = ("type", "timestamp", "cwd", "gitBranch", "version", "isSidechain", "requestId")
+STOPPED = "[Request interrupted"
+LINE = f"struct<{', '.join(f'{c}: string' for c in HEAD)}, message: struct<id: string, model: string, usage: struct<{', '.join(f'{c}: bigint' for c in USAGE)}>>, interrupted: boolean, stopped: boolean>"
 
 
 def read_tree(spark: SparkSession, root: str, projects: list[str] | None = None, modified_after: str | None = None) -> DataFrame:
@@ -54,20 +55,42 @@ def classify(parts: Column) -> dict[str, Column]:
     }
 
 
+def _whole(value: object) -> int | None:
+    return value if isinstance(value, int) and not isinstance(value, bool) and -(1 << 63) <= value < 1 << 63 else None
+
+
+def _line(line: dict) -> dict:
+    message, result = line.get("message"), line.get("toolUseResult")
+    out = {c: L.compact(line.get(c)) for c in HEAD}
+    if isinstance(message, dict):
+        usage = message.get("usage")
+        out["message"] = {"id": L.compact(message.get("id")), "model": L.compact(message.get("model")), "usage": {c: _whole(usage.get(c)) for c in USAGE} if isinstance(usage, dict) else None}
+        out["stopped"] = STOPPED in (L.compact(message.get("content")) or "")
+    out["interrupted"] = isinstance(result, dict) and result.get("interrupted") is True
+    return out
+
+
 def parse(lines: DataFrame) -> DataFrame:
-    """Lines (sid, line_no, raw and more) with the typed struct `line`; blank and broken ones are dropped.
+    """Lines (sid, line_no, raw) as (sid, line_no, line), `line` being a struct of what sessions and turns are made of.
 
-    A field of an unexpected type is text, or null where a number is wanted, never an error.
+    Blank and broken lines, and such as have something behind their object, are dropped; objects nested to any depth are
+    read. A field of an unexpected type is text, or null where a number is wanted, never an error.
     """
-    ok = F.expr("try_parse_json(raw) is not null and ltrim(raw) like '{%'")
-    return lines.where(ok).withColumn("line", F.from_json("raw", LINE))
+
+    def each(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for sid, line_no, raw in rows:
+            line = L.parse(raw)
+            if line is not None:
+                yield sid, line_no, _line(line)
+
+    return L.visit(lines.withColumn("line_no", F.col("line_no").cast("int")), ["sid", "line_no", "raw"], f"sid string, line_no int, line {LINE}", each)
 
 
 def turns(parsed: DataFrame) -> DataFrame:
     """Model calls: the first line with usage of each request (requestId, else message id, else the line itself)."""
     with_usage = parsed.where("line.type = 'assistant' and line.message.usage is not null")
     key = F.coalesce("line.requestId", "line.message.id", F.concat(F.lit("line-"), F.col("line_no").cast("string")))
-    usage = {c: F.coalesce(f"line.message.usage.{c}", F.lit(0)) for c in ("input_tokens", "output_tokens", "cache_read_input_tokens", "cache_creation_input_tokens")}
+    usage = {c: F.coalesce(f"line.message.usage.{c}", F.lit(0)) for c in USAGE}
     flat = with_usage.select("sid", key.alias("request"), "line_no", F.col("line.message.model").alias("model"), F.col("line.isSidechain").alias("side"), *[c.alias(n) for n, c in usage.items()])
     first = flat.groupBy("sid", "request").agg(F.min_by(F.struct(*[c for c in flat.columns if c not in ("sid", "request")]), "line_no").alias("f"))
     out = first.select("sid", "request", "f.*")
@@ -167,7 +190,5 @@ def user_messages(blocks: DataFrame, kind: Column) -> DataFrame:
 
 def interrupts(parsed: DataFrame) -> DataFrame:
     """Interruptions of each session: the flag of a result, and the marker in texts (one stop can count twice)."""
-    flag = F.get_json_object("raw", "$.toolUseResult.interrupted") == "true"
-    marker = F.contains(F.coalesce("line.message.content", F.lit("")), F.lit("[Request interrupted"))
     user = F.col("line.type") == "user"
-    return parsed.groupBy("sid").agg((F.count_if(user & flag) + F.count_if(user & marker)).alias("interrupts"))
+    return parsed.groupBy("sid").agg((F.count_if(user & F.col("line.interrupted")) + F.count_if(user & F.col("line.stopped"))).alias("interrupts"))

@@ -127,3 +127,10 @@ def test_html_behind_character_200(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.sha for r in misc.html_escape_whole(spark, str(tmp_path)).collect()}
     assert got == {i: hashlib.sha1(("x" * 300 + f"&lt;b a=&#39;{c}&#39;&gt;&amp;").encode()).hexdigest() for i, c in enumerate("yz")}
+
+
+@pytest.mark.parametrize("dialect", [redaction.PLAIN, redaction.LABELLED])
+@pytest.mark.parametrize("secret", ["AAAA3859" + "0f1e2d3c4b5a69788796a5b4c3d2e1f00f1e2d3c", "0f1e2d3c4b5a6978" * 38])
+def test_hex_runs_of_any_length_and_beginning(dialect, secret):
+    assert secret[:32] not in redaction.redact(f"api_key blob {secret} end", dialect)
+    assert redaction.redact(f"commit {secret}", dialect) == f"commit {secret}"

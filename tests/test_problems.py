@@ -113,6 +113,21 @@ def test_flat_tables(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "flat")).where("tag = 'line'").count() == 1
 
 
+def test_no_depth_is_too_much(spark):
+    given = '{"a":[' * 20_000 + "]}" * 20_000
+    df = raw(spark, '{"type":"user","message":{"usage":{"input_tokens":1},"content":[{"type":"tool_use","input":' + given + '}]},"extra":' + given + "}")
+    assert nested.children(df).count() == 2
+    assert nested.flatten(df).where("tag = 'block'").select(F.length("payload")).first()[0] > len(given)
+    assert drift.facts(df, drift.Contract(contract(spark))).count() > 0
+    blocks = raw(spark, '{"message":{"content":[' + '{"type":"x","content":[' * 1_500 + '"end"' + "]}" * 1_500 + "]}}")
+    assert nested.children(blocks).count() == 1_501
+    for text in ('{"a":[1,2,{"b":[]}],"c":{},"d":"\\u00e9\\""}', "[]", " [1 , 2] ", '"x"'):
+        assert lines._deep(text) == json.loads(text) and lines._deep_dumps(json.loads(text), {"indent": 2, "ensure_ascii": False}, 2) == json.dumps(json.loads(text), indent=2, ensure_ascii=False)
+    for text in ("{", "[1,]", '{"a":1,}', '{"a"}', "{1:2}", "[1 2]", '{"a":1}}', "[}", "{]", "", "01", "[:]", '{"a",1}'):
+        with pytest.raises(ValueError):
+            lines._deep(text)
+
+
 def test_deep_nesting(spark):
     block = {"type": "text"}
     for _ in range(300):
