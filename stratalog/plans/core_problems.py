@@ -16,11 +16,26 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return drift.changes(table(spark, sf, "transcript_lines"), table(spark, sf, "line_contract"))
 
 
-def p2_landed(spark: SparkSession, sf: str) -> DataFrame:
+def _landed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     lines, contract = table(spark, sf, "transcript_lines"), table(spark, sf, "line_contract")
     pairs = drift.renames(drift.checkpointed(drift.facts(lines, drift.Contract(contract))))
-    landed = drift.land(lines, contract, pairs)
-    return landed.groupBy("line_type").agg(F.count("*").alias("lines"), F.sum(F.size("fields")).alias("fields"), F.sum(F.size("branches")).alias("branches"))
+    return drift.land(lines, contract, pairs), contract
+
+
+def p2_landed(spark: SparkSession, sf: str) -> DataFrame:
+    """Every path of every landed line, as delivered; texts of objects and arrays are left out here, as engines write them differently."""
+    rows = drift.as_delivered(_landed(spark, sf)[0])
+    return rows.withColumn("value", F.when(F.col("json_type").isin("string", "boolean", "number"), F.col("value")))
+
+
+def p2_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The one table: a line a row, a contract path a column in its type, the rest in one field."""
+    return drift.wide(*_landed(spark, sf))
+
+
+def p2_union(spark: SparkSession, sf: str) -> DataFrame:
+    """Every JSON type that each path has, by line type."""
+    return drift.union(drift.alternatives(table(spark, sf, "transcript_lines"), table(spark, sf, "line_contract")))
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,7 +79,7 @@ def p5_usage(spark: SparkSession, sf: str) -> DataFrame:
     return nested.flat_table(tagged, "usage").agg(F.count("*").alias("n_usage"), *[F.sum(c).alias(c) for c in ("input_tokens", "output_tokens")])
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_landed, p3_found, p3_per_key, p4_found, p4_per_month, p5_found, p5_usage)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_landed, p2_table, p2_union, p3_found, p3_per_key, p4_found, p4_per_month, p5_found, p5_usage)}
 
 
 def _heavy(t: str, col: str, order: str) -> str:
@@ -94,6 +109,21 @@ _ORPHANS = f"""WITH {_CALLS}, sids AS (
   UNION ALL SELECT DISTINCT src, sid, sid, period FROM sids WHERE sid IS NOT NULL AND sid NOT IN (SELECT sid FROM session_rows WHERE sid IS NOT NULL)
   UNION ALL SELECT DISTINCT 'session_rows', sid, parent, {_PERIOD} FROM session_rows WHERE sid IS NOT NULL AND parent IS NOT NULL AND parent NOT IN (SELECT sid FROM session_rows WHERE sid IS NOT NULL))
 """
+_STATED = "(SELECT line_type FROM line_contract)"
+_DELIVERED = f"""WITH RECURSIVE lines AS (SELECT line_id, any_value(sid) AS sid, any_value(raw) AS raw FROM transcript_lines WHERE json_valid(raw) AND json_type(raw) = 'OBJECT' GROUP BY line_id),
+  opened AS (
+    SELECT line_id, sid, coalesce(CASE WHEN json_extract_string(raw, '$.type') IN {_STATED} THEN json_extract_string(raw, '$.type') END, CASE WHEN json_extract_string(raw, '$.lineType') IN {_STATED} THEN json_extract_string(raw, '$.lineType') END) AS line_type,
+      '' AS parent, CAST(raw AS JSON) AS o FROM lines
+    UNION ALL
+    SELECT line_id, sid, k.line_type, k.path, v FROM (
+      SELECT line_id, sid, line_type, CASE WHEN parent = '' THEN key ELSE parent || '.' || key END AS path, json_extract(o, '$."' || key || '"') AS v FROM (SELECT *, unnest(json_keys(o)) AS key FROM opened)) k
+      JOIN line_contract c ON c.line_type = k.line_type AND c.path = k.path AND list_contains(string_split(c.json_types, '|'), 'object') WHERE json_type(v) = 'OBJECT' AND CAST(v AS VARCHAR) <> '{{}}' AND k.path <> 'message.content'),
+  found AS (SELECT *, CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' ELSE 'number' END AS json_type FROM (
+      SELECT line_id, sid, line_type, CASE WHEN parent = '' THEN key ELSE parent || '.' || key END AS path, json_extract(o, '$."' || key || '"') AS v FROM (SELECT *, unnest(json_keys(o)) AS key FROM opened))),
+  delivered AS (SELECT line_id, sid, f.line_type, f.path, f.json_type, v, c.path IS NOT NULL AND (f.json_type = 'null' OR list_contains(string_split(c.json_types, '|'), f.json_type)) AS agreed
+    FROM found f LEFT JOIN line_contract c ON c.line_type = f.line_type AND c.path = f.path
+    WHERE NOT (c.path IS NOT NULL AND f.json_type = 'object' AND list_contains(string_split(c.json_types, '|'), 'object') AND CAST(v AS VARCHAR) <> '{{}}' AND f.path <> 'message.content'))
+"""
 _P5 = f"""WITH RECURSIVE lines AS (SELECT line_id, any_value(raw) AS raw FROM transcript_lines WHERE json_valid(raw) AND json_type(raw) = 'OBJECT' GROUP BY line_id),
   tops AS (SELECT line_id, CAST(json_extract(raw, '$.message.content') AS JSON[]) AS bs FROM lines WHERE json_type(raw, '$.message.content') = 'ARRAY'),
   blocks AS (
@@ -111,6 +141,8 @@ _P5_USAGE = """SELECT count(*) AS n_usage, CAST(sum(CASE WHEN json_type(raw, '$.
   FROM (SELECT line_id, any_value(raw) AS raw FROM transcript_lines WHERE json_valid(raw) AND json_type(raw) = 'OBJECT' GROUP BY line_id) WHERE json_type(raw, '$.message.usage') = 'OBJECT'"""
 
 ORACLES = {
+    "p2_landed": _DELIVERED + "SELECT line_id, line_type, path, json_type, agreed, CASE WHEN json_type IN ('string', 'boolean', 'number') THEN json_extract_string(v, '$') END AS value FROM delivered",
+    "p2_union": _DELIVERED + "SELECT line_type, path, json_type, agreed, count(*) AS n_lines, count(DISTINCT sid) AS n_files FROM delivered GROUP BY ALL",
     "p5_usage": _P5_USAGE,
     "p3_found": " UNION ALL ".join(_heavy(*k) for k in KEYS),
     "p3_per_key": " UNION ALL ".join(_per_key(*k) for k in KEYS),

@@ -56,8 +56,36 @@ def test_changes_of_nothing(spark):
 
 def test_landing_converts_and_keeps(spark):
     got = drift.land(raw(spark, line(n="7"), line(n={"total": 3}), line(n="x"), line(n=True), line()), contract(spark)).orderBy("line_id").collect()
-    assert [r.fields.get("n") for r in got] == ["7", "3", None, None, "1"]
-    assert got[0].branches == {"n": "string:7"} and got[4].branches == {}
+    assert [r.fields["n"].value for r in got] == ["7", "3", None, None, "1"]
+    assert got[0].branches["n"].asDict() == {"json_type": "string", "value": "7"} and got[4].branches == {}
+
+
+def test_landing_loses_nothing(spark):
+    pairs = spark.createDataFrame([("user", "cwd", "work_cwd", 1.0), ("user", "cwd", "dir", 0.9)], "line_type string, old string, new string, score double")
+    rows = [
+        line(extra={"deep": [1]}), line(work_cwd="/other"), without("cwd", work_cwd="/b", dir="/c"), '{"type": "strange", "x": 1, "y": null}', line(cwd=None), line(message={}), line(**{"message.usage.in": 9}), "{}", "[1]", "",
+    ]
+    df = raw(spark, *rows).withColumn("line_id", F.when(F.col("line_id") < 4, F.col("line_id")))
+    got = {r.line_no: r for r in drift.land(df.unionByName(df.where("line_id = 0")), contract(spark), pairs).collect()}
+    assert sorted(got) == list(range(8))  # null ids don't collapse, a repeated one does
+    assert got[0].branches["extra"].asDict() == {"json_type": "object", "value": '{"deep":[1]}'}
+    assert got[1].fields["cwd"].value == "/a/b" and got[1].branches["work_cwd"].value == "/other"
+    assert (got[2].fields["cwd"].value, got[2].fields["cwd"].how) == ("/b", "renamed") and set(got[2].branches) == {"work_cwd", "dir"}
+    assert got[3].line_type is None and {p: b.json_type for p, b in got[3].branches.items()} == {"type": "string", "x": "number", "y": "null"}
+    assert got[4].fields["cwd"].json_type == "null" and got[5].fields["message"].value == "{}" and set(got[6].branches) == {"message\\.usage\\.in"}
+    flat = drift.wide(drift.land(df, contract(spark), pairs), contract(spark)).where("line_no = 2").first()
+    assert (flat.cwd, flat.n, flat.message__content) == ("/b", 1.0, "x") and "work_cwd" in flat._rest
+
+
+def test_union_keeps_all_types_of_a_path(spark):
+    df = raw(spark, ("a", line(n="7")), ("a", line(n=1)), ("b", line(n=None)), ("b", line(n=2, new=[1])), ("c", '{"type": "other"}'), ("c", "broken"))
+    found = drift.alternatives(df.unionByName(df), contract(spark))
+    got = {(r.line_type, r.path, r.json_type, r.agreed, r.n_lines, r.n_files) for r in drift.union(found).where("path in ('n', 'new', 'type')").collect()}
+    assert got == {
+        ("user", "n", "string", False, 1, 1), ("user", "n", "number", True, 2, 2), ("user", "n", "null", True, 1, 1), ("user", "new", "array", False, 1, 1), ("user", "type", "string", True, 4, 2),
+        (None, "type", "string", False, 1, 1),
+    }
+    assert drift.alternatives(df.where("false"), contract(spark)).count() == 0
 
 
 def test_a_long_line(spark):
