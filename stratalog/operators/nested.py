@@ -7,7 +7,7 @@ is selected and its payload given that table's schema.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from stratalog.operators import lines as L
 
 TAGGED = "tag string, line_id bigint, path string, parent_path string, kind string, payload string"
-KEYS = "line_id bigint, path string, parent_path string, kind string"
 SCHEMAS = {
     "line": "type string, timestamp string, sessionId string, uuid string, requestId string, version string",
     "block": "type string, id string, name string, tool_use_id string, is_error boolean, text string, thinking string, content string, input string",
@@ -35,35 +34,34 @@ def _children(line: dict) -> Iterator[tuple[str, str, str, str, object]]:
 
 
 def _payload(value: object) -> str:
-    return L.compact(value if isinstance(value, dict) else {"text": value})
+    """The value's own fields, inner objects and arrays as text, so that a payload is flat however deep the value is."""
+    own = value if isinstance(value, dict) else {"text": value}
+    return L.compact({k: L.compact(v) if isinstance(v, (dict, list)) else v for k, v in own.items()})
 
 
-def _tagged(rows: Iterator[tuple]) -> Iterator[tuple]:
-    for line_id, raw in rows:
-        line = L.parse(raw)
-        if line is None:
-            continue
-        flat = {k: v for k, v in line.items() if k not in ("message", "toolUseResult")}
-        yield "line", line_id, "", None, line.get("type") if isinstance(line.get("type"), str) else None, L.compact(flat)
-        for tag, path, parent, kind, value in _children(line):
-            yield tag, line_id, path, parent, kind, _payload(value)
+def _emit(payloads: bool) -> Callable[[Iterator[tuple]], Iterator[tuple]]:
+    """The one visitor; without payloads it emits the skeleton."""
 
+    def each(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for line_id, raw in rows:
+            line = L.parse(raw)
+            if line is None:
+                continue
+            own = {k: v for k, v in line.items() if k not in ("message", "toolUseResult")}
+            yield "line", line_id, "", None, line.get("type") if isinstance(line.get("type"), str) else None, _payload(own) if payloads else None
+            for tag, path, parent, kind, value in _children(line):
+                yield tag, line_id, path, parent, kind, _payload(value) if payloads else None
 
-def _keys(rows: Iterator[tuple]) -> Iterator[tuple]:
-    for line_id, raw in rows:
-        line = L.parse(raw)
-        if line is not None:
-            for _, path, parent, kind, _ in _children(line):
-                yield line_id, path, parent, kind
+    return each
 
 
-def flatten(transcript_lines: DataFrame) -> DataFrame:
+def flatten(transcript_lines: DataFrame, payloads: bool = True) -> DataFrame:
     """Every table's rows in one tagged DataFrame (schema TAGGED), each (tag, line_id, path) once.
 
-    Repeated deliveries give the same keys and are dropped after the emission, so the raw text is never
-    shuffled. Lines that aren't JSON objects give nothing; a line with null line_id keeps a null key.
+    Repeated deliveries give the same keys and are dropped after the emission; with payloads these are shuffled for it, without
+    them keys alone. Lines that aren't JSON objects give nothing; a line with null line_id keeps a null key.
     """
-    return L.visit(transcript_lines, ["line_id", "raw"], TAGGED, _tagged).dropDuplicates(["tag", "line_id", "path"])
+    return L.visit(transcript_lines, ["line_id", "raw"], TAGGED, _emit(payloads)).dropDuplicates(["tag", "line_id", "path"])
 
 
 def flat_table(tagged: DataFrame, tag: str) -> DataFrame:
@@ -79,4 +77,4 @@ def write_flat(tagged: DataFrame, path: str) -> None:
 
 def children(transcript_lines: DataFrame) -> DataFrame:
     """The parent-child skeleton alone: line_id, path, parent_path, kind of every block, usage and result."""
-    return L.visit(transcript_lines, ["line_id", "raw"], KEYS, _keys).dropDuplicates(["line_id", "path"])
+    return flatten(transcript_lines, payloads=False).where("tag <> 'line'").select("line_id", "path", "parent_path", "kind")

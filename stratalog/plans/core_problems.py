@@ -74,12 +74,27 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return nested.children(table(spark, sf, "transcript_lines"))
 
 
+def _flat(spark: SparkSession, sf: str, tag: str) -> DataFrame:
+    return nested.flat_table(nested.flatten(table(spark, sf, "transcript_lines")), tag)
+
+
+def p5_line(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat(spark, sf, "line").select("line_id", "type", "timestamp", "sessionId", "uuid", "requestId")
+
+
+def p5_block(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat(spark, sf, "block").select("line_id", "path", "parent_path", "type", "id", "name", "tool_use_id", F.col("is_error"), F.length("text").alias("n_text"))
+
+
+def p5_result(spark: SparkSession, sf: str) -> DataFrame:
+    return _flat(spark, sf, "result").select("line_id", "stdout", "stderr", "interrupted")
+
+
 def p5_usage(spark: SparkSession, sf: str) -> DataFrame:
-    tagged = nested.flatten(table(spark, sf, "transcript_lines").select("line_id", "raw"))
-    return nested.flat_table(tagged, "usage").agg(F.count("*").alias("n_usage"), *[F.sum(c).alias(c) for c in ("input_tokens", "output_tokens")])
+    return _flat(spark, sf, "usage").select("line_id", *[c.split()[0] for c in nested.SCHEMAS["usage"].split(", ")])
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_landed, p2_table, p2_union, p3_found, p3_per_key, p4_found, p4_per_month, p5_found, p5_usage)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_landed, p2_table, p2_union, p3_found, p3_per_key, p4_found, p4_per_month, p5_found, p5_line, p5_block, p5_result, p5_usage)}
 
 
 def _heavy(t: str, col: str, order: str) -> str:
@@ -136,14 +151,30 @@ _P5 = f"""WITH RECURSIVE lines AS (SELECT line_id, any_value(raw) AS raw FROM tr
   UNION ALL SELECT line_id, 'usage', '', 'usage' FROM lines WHERE json_type(raw, '$.message.usage') = 'OBJECT'
   UNION ALL SELECT line_id, 'toolUseResult', '', 'toolUseResult' FROM lines WHERE json_type(raw, '$.toolUseResult') = 'OBJECT'"""
 
-_P5_USAGE = """SELECT count(*) AS n_usage, CAST(sum(CASE WHEN json_type(raw, '$.message.usage.input_tokens') IN ('UBIGINT', 'BIGINT') THEN CAST(json_extract_string(raw, '$.message.usage.input_tokens') AS BIGINT) END) AS BIGINT) AS input_tokens,
-  CAST(sum(CASE WHEN json_type(raw, '$.message.usage.output_tokens') IN ('UBIGINT', 'BIGINT') THEN CAST(json_extract_string(raw, '$.message.usage.output_tokens') AS BIGINT) END) AS BIGINT) AS output_tokens
-  FROM (SELECT line_id, any_value(raw) AS raw FROM transcript_lines WHERE json_valid(raw) AND json_type(raw) = 'OBJECT' GROUP BY line_id) WHERE json_type(raw, '$.message.usage') = 'OBJECT'"""
+_P5_LINES = "(SELECT line_id, any_value(raw) AS raw FROM transcript_lines WHERE json_valid(raw) AND json_type(raw) = 'OBJECT' GROUP BY line_id)"
+
+
+def _typed(src: str, path: str, types: str, cast: str) -> str:
+    return f"CASE WHEN json_type({src}, '$.{path}') IN ({types}) THEN CAST(json_extract_string({src}, '$.{path}') AS {cast}) END AS {path.rpartition('.')[2]}"
+
+
+_TEXT = lambda src, path: f"json_extract_string({src}, '$.{path}') AS \"{path.rpartition('.')[2]}\""
+_P5_USAGE = f"""SELECT line_id, {", ".join(_typed("raw", f"message.usage.{c.split()[0]}", "'UBIGINT', 'BIGINT'", "BIGINT") for c in nested.SCHEMAS["usage"].split(", "))}
+  FROM {_P5_LINES} WHERE json_type(raw, '$.message.usage') = 'OBJECT'"""
+_P5_LINE = f"SELECT line_id, {', '.join(_TEXT('raw', c) for c in ('type', 'timestamp', 'sessionId', 'uuid', 'requestId'))} FROM {_P5_LINES}"
+_P5_RESULT = f"""SELECT line_id, {_TEXT("raw", "toolUseResult.stdout")}, {_TEXT("raw", "toolUseResult.stderr")}, {_typed("raw", "toolUseResult.interrupted", "'BOOLEAN'", "BOOLEAN")} FROM {_P5_LINES} WHERE json_type(raw, '$.toolUseResult') = 'OBJECT'"""
+_P5_BLOCK = f"""{_P5.split("SELECT line_id, path, parent_path, CASE WHEN json_type(b)")[0]}
+  SELECT line_id, path, parent_path, CASE WHEN json_type(b) = 'OBJECT' THEN json_extract_string(b, '$.type') END AS type, json_extract_string(b, '$.id') AS id, json_extract_string(b, '$.name') AS name, json_extract_string(b, '$.tool_use_id') AS tool_use_id,
+    CASE WHEN json_type(b, '$.is_error') = 'BOOLEAN' THEN CAST(json_extract_string(b, '$.is_error') AS BOOLEAN) END AS is_error, length(CASE WHEN json_type(b) = 'OBJECT' THEN json_extract_string(b, '$.text') ELSE json_extract_string(b, '$') END) AS n_text FROM blocks
+  UNION ALL SELECT line_id, '0', '', NULL, NULL, NULL, NULL, NULL, length(json_extract_string(raw, '$.message.content')) FROM lines WHERE json_type(raw, '$.message.content') = 'VARCHAR'"""
 
 ORACLES = {
     "p2_landed": _DELIVERED + "SELECT line_id, line_type, path, json_type, agreed, CASE WHEN json_type IN ('string', 'boolean', 'number') THEN json_extract_string(v, '$') END AS value FROM delivered",
     "p2_union": _DELIVERED + "SELECT line_type, path, json_type, agreed, count(*) AS n_lines, count(DISTINCT sid) AS n_files FROM delivered GROUP BY ALL",
     "p5_usage": _P5_USAGE,
+    "p5_line": _P5_LINE,
+    "p5_result": _P5_RESULT,
+    "p5_block": _P5_BLOCK,
     "p3_found": " UNION ALL ".join(_heavy(*k) for k in KEYS),
     "p3_per_key": " UNION ALL ".join(_per_key(*k) for k in KEYS),
     "p4_found": _ORPHANS + "SELECT DISTINCT src, sid, ref FROM orphans",
