@@ -1,11 +1,16 @@
 """Personal information in free text, found and replaced by typed placeholders.
 
-E-mail addresses, phone numbers, state-issued numbers and street addresses have a form and are found by it.
-Names have none: method is information-theoretic sanitisation. Over the whole corpus it is counted how often
-each term occurs at all and how often it occurs as part of a protected entity (in the local part of an
-address, or in a name-shaped phrase bound to such an entity or to an author's field). The share is how strongly
-the term discloses a person; terms above the threshold are sensitive, and phrases in the shape of a name
-that consist of them are removed. Words of trade never get there, however often they are capitalised.
+Method: information-theoretic sanitisation. Protected entities are e-mail addresses, phone numbers, state-issued
+numbers and street addresses; most of them stand in a corpus once, so co-occurrence says nothing of them and their
+form decides. Names have no form. Over the whole corpus it is counted how often each term occurs at all and how
+often as part of a protected entity (in the local part of an e-mail address, or in a name-shaped phrase bound to an
+entity or to an author's field). The share p(protected | term), which is two to the power of their pointwise mutual
+information times p(protected), is how strongly the term discloses a person; terms above the threshold are
+sensitive, and phrases in the shape of a name that consist of them are removed. Words of trade never get
+there, however often they are capitalised.
+
+Every text is matched with the forms once; what that finds is kept (row, kinds, protected terms), and only texts that
+hold a term of disclosure are looked at again for names.
 """
 
 from __future__ import annotations
@@ -13,7 +18,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +39,8 @@ SPELLED = re.compile(
     rf"(?<![\w.+@/-])[A-Za-z0-9][\w.+-]*\s*[(\[{{<]\s*(?:at|ät|arroba)\s*[)\]}}>]\s*[A-Za-z0-9-]+(?:(?:{_DOT}|\.)[A-Za-z0-9-]+)+\b|(?<![\w.+@/-])[A-Za-z0-9][\w.+-]*{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+\b",
     re.I,
 )
+#: Signs without one of which SPELLED matches nothing; they are looked for first, as that is much cheaper.
+MAY_BE_SPELLED = re.compile(r"[(\[{<]\s*(?:at|ät|arroba|chez|dot|punkt|punto|point)\s*[)\]}>]|\sdot\s", re.I)
 REMOTE = re.compile(r"(?:\b(?:ssh|scp|sftp|rsync|mosh)\b[^\n|;&\"']*|://[^\s/@]*)\Z")
 PHONE = re.compile(
     r"""(?<![\w./+(-])(?<!\d:)(?:
@@ -63,7 +70,7 @@ _PLACE = rf"(?:,\s*(?:\d{{1,2}}[ºª°]\s*[A-Z]\b,?\s*)?(?:\d{{4,5}}\s+)?{_CAP})
 _ENGLISH = "Street|St|Road|Rd|Lane|Ln|Avenue|Ave|Close|Terrace|Court|Ct|Drive|Dr|Way|Boulevard|Blvd|Place|Pl|Square|Sq|Gardens|Crescent|Hill|Row|Walk|Mews|Grove|Park|Quay|Rise|View|Parade"
 ADDRESS = re.compile(
     rf"""(?<![\w.#/-])(?:
-      (?:(?:Flat|Apt\.?|Apartment|Unit|Suite)\ \d+[A-Za-z]?,\ )?\d{{1,5}}[A-Za-z]?\ (?:(?:North|South|East|West|N|S|E|W)\.?\ )?(?!(?:{_ENGLISH})\b)(?:{_CAP}\ ){{1,3}}(?:{_ENGLISH})\b\.?(?!\ [A-Z][a-z]+\ tiles)
+      (?:(?:Flat|Apt\.?|Apartment|Unit|Suite)\ \d+[A-Za-z]?,\ )?\d{{1,5}}[A-Za-z]?\ (?:(?:North|South|East|West|N|S|E|W)\.?\ )?(?!(?:{_ENGLISH})\b)(?:{_CAP}\ ){{1,3}}(?:{_ENGLISH})\b\.?
     | \d{{1,4}}(?:\ ?(?:bis|ter))?,?\ (?:rue|avenue|boulevard|place|chemin|allée|impasse|quai|route)\ (?:(?:de|du|des|la|le|les|l['’])\s?)*{_CAP}(?:[ -](?:de|du|des|la|{_CAP}))*
     | {_CAP}(?:straße|strasse|str\.|weg|gasse|platz|allee|ufer|damm|ring|steig|straat|gracht|laan|plein|kade)\ \d{{1,4}}(?:\ ?[a-z]\b)?
     | (?:{_CAP}[ -]){{1,3}}(?:Straße|Strasse|Str\.|Weg|Gasse|Platz|Allee|Ufer|Damm|Ring)\ \d{{1,4}}(?:\ ?[a-z]\b)?
@@ -83,6 +90,8 @@ CUE = re.compile(r"(?:author(?:=|:|\s+)|-by:|\bFN:|\"name\":|\bowner:|\bfrom:|\b
 #: Cues that nothing but a person follows; other fields also name teams, steps and places.
 AUTHOR = re.compile(r"(?:author[=:]|-by:|\bFN:)\s*[\"']?\Z", re.I)
 BOUND = re.compile(r"\A[\s\"',;|:<(\[]{1,4}\Z")
+DIGIT = re.compile(r"\d")
+FIRST_WORD = re.compile(r"[^\W_]+")
 PARTS = re.compile(r"[^\W\d_]{3,}")
 
 
@@ -100,10 +109,9 @@ def spans(text: str) -> list[tuple[int, int, str]]:
 
     if "@" in text:
         take(EMAIL, "email")
-    low = text.lower()
-    if any(sign in low for sign in ("at", "ät", "arroba", "chez")):
+    if MAY_BE_SPELLED.search(text):
         take(SPELLED, "email")
-    if any(c.isdigit() for c in text):
+    if DIGIT.search(text):
         take(ADDRESS, "address")
         take(LOWER_ADDRESS, "address")
         take(ID_NUMBER, "id_number")
@@ -122,31 +130,33 @@ def own(email: str, terms: list[str]) -> bool:
     return any(len(t) > 2 and t in local for t in plain) or len(plain) > 1 and local in {"".join(t[:1] for t in plain), "".join(t[:1] for t in reversed(plain))}
 
 
-def candidates(text: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str, str | None, int]]:
-    """(start, end, one term, other term or None for an initial, cue) of all name-shaped phrases outside the spans; they may overlap.
-
-    cue is 0 for none, 1 for a field or an entity right behind the phrase, 2 for an author's field or the person's own e-mail.
-    """
+def candidates(text: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[int, int, str, str | None]]:
+    """(start, end, one term, other term or None for an initial) of all name-shaped phrases outside the spans; they may overlap."""
     masked = text
     if taken:
-        chars = list(text)
-        for a, b, _ in taken:
-            chars[a:b] = "\x00" * (b - a)
-        masked = "".join(chars)
+        edges = [0, *(x for a, b, _ in taken for x in (a, b)), len(text)]
+        masked = "".join(text[a:b] if i % 2 == 0 else "\x00" * (b - a) for i, (a, b) in enumerate(zip(edges, edges[1:])))
     at = 0
     while m := NAME.search(masked, at):
         a, b = m.span()
         one, other = m["a"] or m["c"] or m["e"], m["b"] or (m["d"] if m["d"] and len(m["d"].rstrip(".")) > 1 else None)
-        behind = [(s, e, k) for s, e, k in taken if 0 < s - b <= 4 and BOUND.match(text[b:s])]
-        cue = 1 if behind or CUE.search(text, max(0, a - 16), a) else 0
-        if cue and (AUTHOR.search(text, max(0, a - 16), a) or any(k == "email" and own(text[s:e], [one, other] if other else [one]) for s, e, k in behind)):
-            cue = 2
-        yield a, b, one, other, cue
+        yield a, b, one, other
         # The next may begin at this one's second word.
-        nxt = re.compile(r"[^\W_]+").search(masked, a)
+        nxt = FIRST_WORD.search(masked, a)
         at = max(a + 1, nxt.end() if nxt else a + 1)
 
 
+def cue(text: str, taken: list[tuple[int, int, str]], a: int, b: int, terms: list[str]) -> int:
+    """What binds the phrase at a:b to a person: 0 nothing, 1 a field or an entity right behind it, 2 an author's field or the person's own e-mail."""
+    behind = [(s, e, k) for s, e, k in taken if 0 < s - b <= 4 and BOUND.match(text[b:s])]
+    before = text[max(0, a - 16) : a]
+    field = (":" in before or "=" in before or "uthor" in before.lower()) and CUE.search(text, max(0, a - 16), a)
+    if not (behind or field):
+        return 0
+    own_mail = any(k == "email" and own(text[s:e], terms) for s, e, k in behind)
+    return 2 if own_mail or field and AUTHOR.search(text, max(0, a - 16), a) else 1
+
+
 def _capital(term: str) -> bool:
     return term[:1].isupper()
 
@@ -155,58 +165,95 @@ def _local(email: str) -> str:
     return re.split(r"@|\s*[(\[{<]|\s", email)[0]
 
 
-def protected(text: str) -> dict[str, int]:
-    """Occurrences in protected entities of each term that has any, terms in lower case."""
+def examine(text: str) -> tuple[tuple[str, ...], dict[str, int]]:
+    """(kinds of what the text holds for certain, occurrences in protected entities of each term that has any, in lower case)."""
     taken = spans(text)
-    guarded: Counter = Counter()
+    kinds, guarded = {k for _, _, k in taken}, Counter()
     for a, b, kind in taken:
         if kind == "email":
             guarded.update(p.lower() for p in PARTS.findall(_local(text[a:b])))
-    for _, _, one, other, cue in candidates(text, taken):
-        if cue and _capital(one) and (other is None or _capital(other)):
-            for t in (one, other):
-                if t:
-                    guarded.update(p.lower() for p in PARTS.findall(t))
+    for a, b, one, other in candidates(text, taken):
+        if _capital(one) and (other is None or _capital(other)):
+            terms = [one, other] if other else [one]
+            bound = cue(text, taken, a, b, terms)
+            if bound:
+                guarded.update(p.lower() for t in terms for p in PARTS.findall(t))
+            if bound == 2:
+                kinds.add("name")
     if not guarded:
-        return {}
+        return tuple(kinds), {}
     every = Counter(w.lower() for w in WORD.findall(text))
-    return {t: min(every[t], n) for t, n in guarded.items() if every[t]}
+    return tuple(kinds), {t: min(every[t], n) for t, n in guarded.items() if every[t]}
+
+
+class Memo(dict):
+    """Results for short texts that a task has just met; commands and messages repeat."""
+
+    def __init__(self, fn: Callable, longest: int = 4_000, most: int = 20_000):
+        super().__init__()
+        self.fn, self.longest, self.most = fn, longest, most
+
+    def __call__(self, text: str):
+        if len(text) > self.longest:
+            return self.fn(text)
+        got = self.get(text)
+        if got is None:
+            if len(self) >= self.most:
+                self.clear()
+            got = self[text] = self.fn(text)
+        return got
 
 
 KEYS = ["tbl", "row_id", "field"]
 
 
-def _per_row(texts: DataFrame, count: Callable[[str], dict[str, int]], name: str) -> DataFrame:
-    """(term, name): counts of the terms over the rows, each row once whatever its deliveries."""
+def _mapped(texts: DataFrame, fn: Callable[[str], Iterable[tuple]], schema: str) -> DataFrame:
+    """Rows (tbl, row_id, field, *columns of `schema`) of what `fn` makes of each text; a task remembers short texts."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    typed = _parse_datatype_string("tbl string, row_id bigint, field string, " + schema)
+    arrow = to_arrow_schema(typed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Memo(fn)
         for batch in batches:
-            out = [(tbl, row, field, t, n) for tbl, row, field, text in zip(*[c.to_pylist() for c in batch.columns]) if text for t, n in count(text).items()]
+            out = [(tbl, row, field, *found) for tbl, row, field, text in zip(*[c.to_pylist() for c in batch.columns]) if text for found in known(text)]
             if out:
-                types = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[*KEYS, "term", "k"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), arrow)], schema=arrow)
+
+    return texts.select(*KEYS, "text").mapInArrow(run, typed)
+
+
+def _examined(text: str) -> list[tuple]:
+    kinds, guarded = examine(text)
+    return [(list(kinds), list(guarded.items()))] if kinds or guarded else []
 
-    rows = texts.select(*KEYS, "text").mapInArrow(run, "tbl string, row_id bigint, field string, term string, k bigint")
+
+def survey(texts: DataFrame) -> DataFrame:
+    """(tbl, row_id, field, kinds, terms): what the forms find in each text and the terms they protect, texts with neither left out; written once."""
+    return checkpointed(_mapped(texts, _examined, "kinds array<string>, terms map<string,bigint>"))
+
+
+def _by_term(rows: DataFrame, name: str) -> DataFrame:
+    """(term, name): counts of the terms over the rows, each row once whatever its deliveries."""
     return rows.groupBy(*KEYS, "term").agg(F.max("k").alias("k")).groupBy("term").agg(F.sum("k").alias(name))
 
 
-def disclosure(texts: DataFrame, limit: int = BROADCAST_TERMS) -> DataFrame:
-    """(term, n, guarded, share) of the terms that disclose a person, from all texts.
+def disclosure(texts: DataFrame, seen: DataFrame, limit: int = BROADCAST_TERMS) -> DataFrame:
+    """(term, n, guarded, share) of the terms that disclose a person, from all texts; `seen` is their survey().
 
     Only terms that are protected anywhere are counted elsewhere, so (row, term) pairs of those few are shuffled. More than `limit` of them are joined.
     """
-    guarded = checkpointed(_per_row(texts, protected, "guarded"))
+    guarded = checkpointed(_by_term(seen.select(*KEYS, F.explode("terms").alias("term", "k")), "guarded"))
     few = guarded.select("term").limit(limit + 1).collect()
     shared = texts.sparkSession.sparkContext.broadcast({r.term for r in few}) if len(few) <= limit else None
 
-    def every(text: str) -> dict[str, int]:
-        words = map(str.lower, WORD.findall(text))
-        if shared is None:
-            return Counter(words)
-        known = shared.value
-        return Counter(w for w in words if w in known)
+    def every(text: str) -> list[tuple[str, int]]:
+        words = [w.lower() for w in WORD.findall(text)]
+        return list(Counter(words if shared is None else [w for w in words if w in shared.value]).items())
 
-    table = guarded.join(_per_row(texts, every, "n"), "term")
+    table = guarded.join(_by_term(_mapped(texts, every, "term string, k bigint"), "n"), "term")
     return table.withColumn("share", F.col("guarded") / F.col("n")).where(F.col("share") >= DISCLOSURE).select("term", "n", "guarded", "share")
 
 
@@ -218,18 +265,17 @@ def _sensitive(term: str, terms: set[str]) -> bool:
 def named(text: str, taken: list[tuple[int, int, str]], terms: set[str], rare: set[str]) -> list[tuple[int, int, str]]:
     """Spans of the names in a text. `terms` are sensitive, `rare` have the share but not the support, which only counts beside a cue."""
     out: list[tuple[int, int, str]] = []
-    for a, b, one, other, cue in candidates(text, taken):
+    for a, b, one, other in candidates(text, taken):
         if out and a < out[-1][1]:
             continue
-        sure = _sensitive(one, terms)
         capital = _capital(one) and (other is None or _capital(other))
-        told = capital and (cue == 2 or cue == 1 and any(_sensitive(t, terms) or _sensitive(t, rare) for t in (one, other) if t))
-        if other is None:
-            ok = sure and capital or told
-        else:
-            ok = sure and _sensitive(other, terms) or told
-        if ok:
+        if _sensitive(one, terms) and (capital if other is None else _sensitive(other, terms)):
             out.append((a, b, "name"))
+        elif capital:
+            both = [one, other] if other else [one]
+            bound = cue(text, taken, a, b, both)
+            if bound == 2 or bound == 1 and any(_sensitive(t, terms) or _sensitive(t, rare) for t in both):
+                out.append((a, b, "name"))
     return out
 
 
@@ -249,81 +295,59 @@ def gather(tables: dict[tuple[str, str], DataFrame]) -> DataFrame:
     return out
 
 
-def _terms(texts: DataFrame, limit: int) -> tuple[DataFrame, tuple[set[str], set[str]] | None]:
+def _terms(texts: DataFrame, seen: DataFrame, limit: int) -> tuple[DataFrame, tuple[set[str], set[str]] | None]:
     """The terms (term, sensitive), and both kinds as sets, if there are few enough to broadcast."""
-    table = checkpointed(disclosure(texts, limit).select("term", (F.col("guarded") >= SUPPORT).alias("sensitive")))
+    table = checkpointed(disclosure(texts, seen, limit).select("term", (F.col("guarded") >= SUPPORT).alias("sensitive")))
     rows = table.limit(limit + 1).collect()
     return table, None if len(rows) > limit else ({r.term for r in rows if r.sensitive}, {r.term for r in rows if not r.sensitive})
 
 
-FOUND = "tbl string, row_id bigint, field string, kind string"
-
-
 def find(texts: DataFrame, limit: int = BROADCAST_TERMS) -> DataFrame:
     """(tbl, row_id, field, kind), distinct: the field holds at least one item of that kind.
 
-    Repeated deliveries give one row; empty texts none. Three narrow passes over the texts, which are never shuffled unless the terms are too many.
+    Repeated deliveries give one row; empty texts none. The texts are never shuffled unless the terms are too many.
     """
-    table, terms = _terms(texts, limit)
+    seen = survey(texts)
+    table, terms = _terms(texts, seen, limit)
+    certain = seen.select(*KEYS, F.explode("kinds").alias("kind"))
     if terms is None:
-        return _find_by_join(texts, table)
-    shared = texts.sparkSession.sparkContext.broadcast(terms)
+        names = _names_by_join(texts, table)
+    else:
+        shared = texts.sparkSession.sparkContext.broadcast((*terms, terms[0] | terms[1]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for batch in batches:
-            out = []
-            for tbl, row, field, text in zip(*[c.to_pylist() for c in batch.columns]):
-                taken = spans(text)
-                kinds = {k for _, _, k in taken}
-                if named(text, taken, *known):
-                    kinds.add("name")
-                out += [(tbl, row, field, k) for k in kinds]
-            if out:
-                yield _batch(out)
+        def found(text: str) -> list[tuple[str]]:
+            sensitive, rare, known = shared.value
+            if known.isdisjoint([w.lower() for w in WORD.findall(text)]):
+                return []
+            return [("name",)] if named(text, spans(text), sensitive, rare) else []
 
-    return texts.mapInArrow(run, FOUND).distinct()
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.string(), pa.int64(), pa.string(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["tbl", "row_id", "field", "kind"])
+        names = _mapped(texts, found, "kind string")
+    return certain.unionByName(names).distinct()
 
 
 def _with_terms(texts: DataFrame, table: DataFrame) -> DataFrame:
     """The texts with the terms that name-shaped phrases of each consist of, sensitive ones and others; instead of a broadcast."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for tbl, row, field, text in zip(*[c.to_pylist() for c in batch.columns]):
-                words = {w for _, _, one, other, _ in candidates(text, spans(text)) for t in (one, other) if t for w in (t.lower(), *PARTS.findall(t.lower()))}
-                out += [(tbl, row, field, w) for w in words]
-            if out:
-                types = (pa.string(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[*KEYS, "term"])
+    def words(text: str) -> list[tuple[str]]:
+        return [(w,) for w in {w for _, _, one, other in candidates(text, spans(text)) for t in (one, other) if t for w in (t.lower(), *PARTS.findall(t.lower()))}]
 
-    hits = texts.select(*KEYS, "text").mapInArrow(run, "tbl string, row_id bigint, field string, term string").distinct().join(table, "term")
+    hits = _mapped(texts, words, "term string").distinct().join(table, "term")
     sets = hits.groupBy(*KEYS).agg(F.collect_list(F.when(F.col("sensitive"), F.col("term"))).alias("terms"), F.collect_list(F.when(~F.col("sensitive"), F.col("term"))).alias("rare"))
     return texts.select(*KEYS, "text").join(sets, KEYS, "left")
 
 
-def _find_by_join(texts: DataFrame, table: DataFrame) -> DataFrame:
-    """The same without a broadcast: every name-shaped phrase is joined with the terms it consists of."""
+def _names_by_join(texts: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows with a name, without a broadcast: every name-shaped phrase is joined with the terms it consists of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for tbl, row, field, text, terms, rare in zip(*[c.to_pylist() for c in batch.columns]):
-                taken = spans(text)
-                kinds = {k for _, _, k in taken}
-                if named(text, taken, set(terms or ()), set(rare or ())):
-                    kinds.add("name")
-                out += [(tbl, row, field, k) for k in kinds]
+            rows = zip(*[c.to_pylist() for c in batch.columns])
+            out = [(tbl, row, field, "name") for tbl, row, field, text, terms, rare in rows if named(text, spans(text), set(terms or ()), set(rare or ()))]
             if out:
-                yield _batch(out)
+                types = (pa.string(), pa.int64(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[*KEYS, "kind"])
 
-    return _with_terms(texts, table).mapInArrow(run, FOUND).distinct()
+    return _with_terms(texts, table).mapInArrow(run, "tbl string, row_id bigint, field string, kind string")
 
 
 CLEAN = "tbl string, row_id bigint, field string, text string"
@@ -343,7 +367,7 @@ def _sanitise_by_join(texts: DataFrame, table: DataFrame) -> DataFrame:
 
 def sanitise(texts: DataFrame, limit: int = BROADCAST_TERMS) -> DataFrame:
     """(tbl, row_id, field, text) with typed placeholders; every row stays, once for each delivery."""
-    table, terms = _terms(texts, limit)
+    table, terms = _terms(texts, survey(texts), limit)
     if terms is None:
         return _sanitise_by_join(texts, table)
     shared = texts.sparkSession.sparkContext.broadcast(terms)
