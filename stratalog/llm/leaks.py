@@ -14,16 +14,22 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections import defaultdict
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratalog.sources.tables import checkpointed
+
 LEAST, ONE_IN, SEED, BLOCK = 20, 8, 5, 2
-#: Characters of test items searched for at once; more items are taken in further passes.
-AT_ONCE = 32_000_000
+#: Bytes that a searcher takes for each character of its items, measured (a test holds it), and the memory that a portion of items may
+#: take in each Python worker; more items are searched for in further passes, one after another.
+BYTES_A_CHARACTER, PORTION_BYTES = 64, 256 << 20
+AT_ONCE = PORTION_BYTES // BYTES_A_CHARACTER
 
 ESCAPES = re.compile(r"\\+u([0-9a-fA-F]{4})|\\+[nrt](?![a-z]{2,}\.)|\\+(?=[\"'`*_\[\]()#>~|.!-])")
 TAGS = re.compile(r"<(/?)(p|br|li|ul|ol|div|td|tr|th|table|h[1-6]|hr|blockquote|pre)\b[^<>]*>|</?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]*)?/?>", re.I)
@@ -71,53 +77,76 @@ def words(text: str | None) -> list[str]:
 
 
 class Searcher:
-    """Wu-Manber tables of all SEED-word windows of the items, and the items themselves."""
+    """Wu-Manber tables of all SEED-word windows of the items, and the items themselves.
+
+    Items are one array of word numbers; windows are its places, sorted by a hash of their words, so a bucket is a range
+    of two flat arrays. The shift table has an entry a pair of words. Measured: BYTES_A_CHARACTER of the items' text.
+    """
 
-    def __init__(self, items: list[tuple[int, str | None]]):
-        self.ids: dict[str, int] = {}
-        self.items: list[tuple[int, list[int]]] = []
+    def __init__(self, items: list[tuple[int | None, str | None]]):
+        vocabulary: dict[str, int] = {}
+        self.names: list[int | None] = []
+        kept = []
         for item, text in items:
-            ws = [self.ids.setdefault(w, len(self.ids)) for w in words(text)]
+            ws = [vocabulary.setdefault(w, len(vocabulary)) for w in words(text)]
             if len(ws) >= LEAST:
-                self.items.append((item, ws))
-        self.shift: dict[tuple[int, int], int] = {}
-        self.bucket: dict[tuple[int, int], dict[tuple[int, ...], list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
-        for i, (_, ws) in enumerate(self.items):
-            for p in range(len(ws) - SEED + 1):
-                window = tuple(ws[p : p + SEED])
-                for end in range(BLOCK, SEED + 1):
-                    block = window[end - BLOCK : end]
-                    self.shift[block] = min(self.shift.get(block, SEED), SEED - end)
-                self.bucket[window[-BLOCK:]][window].append((i, p))
-
-    def seeds(self, ws: list[int]) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-        """(position, [(item, position in it)]) of every window of the document that is a pattern."""
-        at, shift, bucket, far = SEED - 1, self.shift, self.bucket, SEED - BLOCK + 1
+                self.names.append(item)
+                kept.append(np.array(ws, np.int32))
+        self.vocabulary, self.unknown = vocabulary, len(vocabulary)
+        self.offsets = np.concatenate([[0], np.cumsum([len(k) for k in kept])]).astype(np.int64)
+        self.flat = np.concatenate(kept) if kept else np.zeros(0, np.int32)
+        starts = np.concatenate([np.arange(a, b - SEED + 1) for a, b in zip(self.offsets, self.offsets[1:])]) if kept else np.zeros(0, np.int64)
+        hashes = np.fromiter(map(hash, zip(*[self.flat[starts + i].tolist() for i in range(SEED)])), np.int64, len(starts))
+        order = np.argsort(hashes, kind="stable")
+        hashes, self.starts = hashes[order], starts[order].astype(np.int32 if len(self.flat) < 1 << 31 else np.int64)
+        begins = np.flatnonzero(np.diff(hashes, prepend=hashes[:1] - 1)) if len(hashes) else np.zeros(0, int)
+        self.ends = np.append(begins[1:], len(hashes)).astype(self.starts.dtype)
+        self.begins = begins.astype(self.starts.dtype)
+        self.bucket: dict[int, int] = dict(zip(hashes[begins].tolist(), range(len(begins))))
+        self.shift: dict[int, int] = {}
+        for end in range(BLOCK, SEED + 1):
+            left, right = (self.flat[starts + end - i].astype(np.int64) for i in (2, 1))
+            # Later ends have the smaller shift and overwrite earlier ones.
+            self.shift.update(zip(np.unique(left * (self.unknown + 1) + right).tolist(), repeat(SEED - end)))
+
+    def _places(self, bucket: int, window: tuple[int, ...]) -> list[int]:
+        """Places in `flat` of a window of words, from its bucket; the words themselves are compared."""
+        return [p for p in self.starts[self.begins[bucket] : self.ends[bucket]].tolist() if tuple(self.flat[p : p + SEED].tolist()) == window]
+
+    def seeds(self, ws: list[int]) -> Iterator[tuple[int, list[int]]]:
+        """(position, places in the items) of every window of the document that is a pattern."""
+        at, shift, far, width, buckets = SEED - 1, self.shift, SEED - BLOCK + 1, self.unknown + 1, self.bucket
         while at < len(ws):
-            block = (ws[at - 1], ws[at])
-            jump = shift.get(block, far)
+            jump = shift.get(ws[at - 1] * width + ws[at], far)
             if jump == 0:
-                hit = bucket[block].get(tuple(ws[at - SEED + 1 : at + 1]))
-                if hit:
+                window = tuple(ws[at - SEED + 1 : at + 1])
+                bucket = buckets.get(hash(window))
+                if bucket is not None and (hit := self._places(bucket, window)):
                     yield at - SEED + 1, hit
                 jump = 1
             at += jump
 
-    def leaks(self, text: str | None) -> list[int]:
-        """Ids of the items of which the text holds a passage."""
-        ws = [self.ids.get(w, -1) for w in words(text)]
+    def leaks(self, text: str | None) -> list[int | None]:
+        """Names of the items of which the text holds a passage."""
+        ws = [self.vocabulary.get(w, self.unknown) for w in words(text)]
         found: set[int] = set()
         seen: set[tuple[int, int]] = set()
-        for q, hits in self.seeds(ws):
-            for i, p in hits:
+        items: dict[int, list[int]] = {}
+        for q, places in self.seeds(ws):
+            for place in places:
+                i = int(np.searchsorted(self.offsets, place, "right")) - 1
                 if i in found:
                     continue
+                begin = int(self.offsets[i])
+                p = place - begin
+                if i not in items:
+                    items[i] = self.flat[begin : self.offsets[i + 1]].tolist()
                 # A seed that goes on from the one before it, in the same item, was judged with it.
-                goes_on = (i, p - q) in seen and p and q and self.items[i][1][p - 1] == ws[q - 1]
-                seen.add((i, p - q))
-                if not goes_on and passage(self.items[i][1], ws, p, q):
+                goes_on = (i, place - q) in seen and p and q and items[i][p - 1] == ws[q - 1]
+                seen.add((i, place - q))
+                if not goes_on and passage(items[i], ws, p, q):
                     found.add(i)
-        return sorted(self.items[i][0] for i in found)
+        return [self.names[i] for i in sorted(found)]
 
 
 def growth(item: list[int], doc: list[int], most: int) -> list[int]:
@@ -160,28 +189,44 @@ def passage(item: list[int], doc: list[int], p: int, q: int) -> bool:
     return False
 
 
+#: The worker's searcher and the broadcast it was built from; tasks of the same search share it.
+_BUILT: dict[str, Searcher] = {}
+
+
+def _searcher(key: str, items: Callable[[], list]) -> Searcher:
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = Searcher(items())
+    return _BUILT[key]
+
+
 def find_leaks(documents: DataFrame, eval_items: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
     """(doc_id, item_id), distinct: the document holds a passage of LEAST words or more of the item.
 
-    Items are broadcast in portions of at most about `at_once` characters (their total is measured first), so a
-    larger test set takes more passes, not more memory; documents are never shuffled. Null, empty and too short
-    texts neither leak nor are leaked; repeated item ids count as one; a null id is an id.
+    Items are collected and broadcast in portions of at most about `at_once` characters (their total is measured first). Of
+    several portions each is searched for and written before the next is fetched, so a larger test set takes more passes, not
+    more memory; documents are never shuffled. Null, empty and too short texts neither leak nor are leaked; repeated item ids
+    count as one; a null id is an id.
     """
     spark = documents.sparkSession
     total = eval_items.agg(F.sum(F.length("text"))).first()[0] or 0
     portions = -(-total // at_once) or 1
     found = None
     for portion in range(portions):
-        part = eval_items.where(F.pmod(F.xxhash64("item_id"), F.lit(portions)) == portion) if portions > 1 else eval_items
-        shared = spark.sparkContext.broadcast(sorted({(r.item_id, r.text) for r in part.select("item_id", "text").collect() if r.text}, key=repr))
+        part = eval_items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(portions)) == portion) if portions > 1 else eval_items
+        rows = sorted({(r.item_id, r.text) for r in part.select("item_id", "text").collect() if r.text}, key=repr)
+        shared, key = spark.sparkContext.broadcast(rows), uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            searcher = Searcher(shared.value)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, key=key) -> Iterator[pa.RecordBatch]:
+            searcher = _searcher(key, lambda: shared.value)
             for batch in batches:
                 pairs = [(d, i) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for i in searcher.leaks(t)]
                 if pairs:
                     yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["doc_id", "item_id"])
 
         part = documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, item_id bigint")
+        if portions > 1:
+            part = checkpointed(part)
+            shared.destroy()
         found = part if found is None else found.unionByName(part)
     return found.distinct()

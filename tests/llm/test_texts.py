@@ -1,6 +1,7 @@
 """Personal information, leaks and languages."""
 
 import random
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,6 +129,18 @@ def test_what_does_not_count():
     assert leaks.words(None) == leaks.words(" \n") == []
 
 
+def test_a_searcher_takes_the_memory_stated():
+    rng = random.Random(1)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9))) for _ in range(30_000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=60))) for i in range(1_000)]
+    tracemalloc.start()
+    searcher = leaks.Searcher(items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak <= leaks.BYTES_A_CHARACTER * sum(len(t) for _, t in items) * 1.5  # small tables weigh more
+    assert searcher.leaks("x " + items[7][1] + " y") == [7]
+
+
 def test_leak_table(spark):
     item = " ".join(WORDS[:30])
     docs = spark.createDataFrame([(1, f"x {item} y"), (1, f"x {item} y"), (2, None), (3, ""), (None, item), (4, "x " * 200_000 + item)], "doc_id bigint, text string").withColumn("item_id", F.lit(0))
