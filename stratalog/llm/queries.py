@@ -28,18 +28,26 @@ def p1_runs(spark: SparkSession, sf: str) -> DataFrame:
     return runs.collapse(table(spark, sf, "bash_rows"))
 
 
+def _values(spark: SparkSession, sf: str) -> DataFrame:
+    day = F.to_date("ingested_at")
+    bash, tool = ((t, k, v) for t, k, v in (("bash_rows", "family", "durSec"), ("tool_rows", "tool", "outChars")))
+    return req.distinct_values(table(spark, sf, bash[0]), *bash, day).unionByName(req.distinct_values(table(spark, sf, tool[0]), *tool, day))
+
+
 def p6_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     """Every day's quantiles, and (day null) those of all days, merged from the days' summaries."""
-    day = F.to_date("ingested_at")
-    values = req.distinct_values(table(spark, sf, "bash_rows"), "bash_rows", "family", "durSec", day)
-    days = req.sketch_days(values.unionByName(req.distinct_values(table(spark, sf, "tool_rows"), "tool_rows", "tool", "outChars", day)))
+    days = req.sketch_days(_values(spark, sf))
     return req.read_quantiles(days.unionByName(req.merge_days(days)), QUANTILES, NAMES)
 
 
+def p6_exact(spark: SparkSession, sf: str) -> DataFrame:
+    """The quantiles of p6_quantiles whose summaries hold every value, so that they are exact."""
+    return p6_quantiles(spark, sf).where(F.col("n") <= req.EXACT)
+
+
 def p6_bound(spark: SparkSession, sf: str) -> DataFrame:
     """Per table: keys, and whether every quantile's exact rank lies within the stated bound of the wanted one."""
-    day = F.to_date("ingested_at")
-    values = req.distinct_values(table(spark, sf, "bash_rows"), "bash_rows", "family", "durSec", day).unionByName(req.distinct_values(table(spark, sf, "tool_rows"), "tool_rows", "tool", "outChars", day))
+    values = _values(spark, sf)
     read = req.read_quantiles(req.merge_days(req.sketch_days(values)), QUANTILES, NAMES).drop("day")
     v = values.where("value is not null and not isnan(value)").select("tbl", F.col("key_value").alias("k"), "value")
     met = v.join(read, (v["tbl"] == read["tbl"]) & v["k"].eqNullSafe(read["key_value"])).drop(v["tbl"])
@@ -70,11 +78,10 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
     return tokenize.encode(table(spark, sf, "documents"), VOCABULARY)
 
 
-def p8_lossy(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents whose ids don't decode to their text; there are none."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    back = tokenize.decode(tokenize.encode(docs, VOCABULARY), VOCABULARY).withColumnRenamed("text", "back")
-    return docs.join(back, "doc_id").where("coalesce(text, '') <> back").select("doc_id")
+def p8_decoded(spark: SparkSession, sf: str) -> DataFrame:
+    """A digest of every document's ids decoded again; its SQL takes that of the text."""
+    back = tokenize.decode(tokenize.encode(table(spark, sf, "documents"), VOCABULARY), VOCABULARY)
+    return back.select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("digest"))
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -103,9 +110,13 @@ def p10_documents(spark: SparkSession, sf: str) -> DataFrame:
     return language.document_languages(docs, language.passages(docs, language.train(docs)))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p6_quantiles, p6_bound, p7_found, p7_clean, p8_ids, p8_lossy, p9_found, p9_items, p10_found, p10_passages, p10_documents)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_runs, p6_quantiles, p6_exact, p6_bound, p7_found, p7_clean, p8_ids, p8_decoded, p9_found, p9_items, p10_found, p10_passages, p10_documents)}
+_DAYS = """v AS (SELECT 'bash_rows' AS tbl, family AS key_value, min(CAST(ingested_at AS DATE)) AS day, max(CAST("durSec" AS DOUBLE)) AS value FROM bash_rows GROUP BY row_id, family
+    UNION ALL SELECT 'tool_rows', tool, min(CAST(ingested_at AS DATE)), max(CAST("outChars" AS DOUBLE)) FROM tool_rows GROUP BY row_id, tool),
+  k AS (SELECT *, row_number() OVER (PARTITION BY tbl, key_value, day ORDER BY value) AS r, count(*) OVER (PARTITION BY tbl, key_value, day) AS n FROM v WHERE value IS NOT NULL AND NOT isnan(value)
+    UNION ALL SELECT tbl, key_value, NULL, value, row_number() OVER (PARTITION BY tbl, key_value ORDER BY value), count(*) OVER (PARTITION BY tbl, key_value) FROM v WHERE value IS NOT NULL AND NOT isnan(value))"""
+_AT = ", ".join(f"min(value) FILTER (r >= {p}::DOUBLE * n) AS {name}" for p, name in zip(QUANTILES, NAMES))
 ORACLES = {
-    "p6_bound": """SELECT 'bash_rows' AS tbl, count(DISTINCT coalesce(family, chr(0))) AS keys, true AS within FROM bash_rows WHERE "durSec" IS NOT NULL AND NOT isnan("durSec") HAVING keys > 0
-      UNION ALL SELECT 'tool_rows', count(DISTINCT coalesce(tool, chr(0))) AS keys, true FROM tool_rows WHERE "outChars" IS NOT NULL HAVING keys > 0""",
-    "p8_lossy": "SELECT doc_id FROM documents WHERE false",
+    "p6_exact": f"WITH {_DAYS} SELECT tbl, key_value, day, n, {_AT} FROM k WHERE n <= {req.EXACT} GROUP BY tbl, key_value, day, n",
+    "p8_decoded": "SELECT doc_id, md5(coalesce(text, '')) AS digest FROM documents",
 }

@@ -3,7 +3,8 @@
 A sketch is a stack of compactors. An item at level h stands for 2**h values. When a level is full, its
 lower part is sorted and every other item moves up; the upper part stays, so ranks near the maximum stay
 exact and the rank error is proportional to the distance from the top: with R the number of values above
-a quantile, the returned value's rank is off by at most EPS * R, EPS = 1 / K (tests measure half of that).
+a quantile, the returned value's rank is off by at most EPS * R, EPS = 1 / K (for ten million values merged from 2,442
+sketches over 49 of them a test measures less than a quarter of that). A sketch of up to EXACT values is exact.
 How much of the lower part is compacted follows the trailing zeros of the level's counter.
 """
 
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 #: Items in a section and sections of a level. Relative rank error (of the distance from the top) stated for them.
 K, SECTIONS = 48, 6
 EPS = 1 / K
+EXACT = K * SECTIONS
 
 
 class Sketch:
@@ -103,21 +105,61 @@ def _arrow() -> pa.Schema:
     return pa.schema([("tbl", pa.string()), ("key_value", pa.string()), ("day", pa.date32()), ("sketch", pa.binary())])
 
 
+#: Values that a group collects before they are compacted, and groups and waiting values that a task holds at once.
+WAIT, HELD_GROUPS, HELD_VALUES = 4_096, 100_000, 4_000_000
+
+
+class _Groups:
+    """Sketches of the groups that a task has met; values wait until there are enough of them to be worth compacting."""
+
+    def __init__(self):
+        self.sketches: dict[tuple, Sketch] = {}
+        self.waiting: dict[tuple, list[np.ndarray]] = {}
+        self.sizes: dict[tuple, int] = {}
+        self.held = 0
+
+    def add(self, key: tuple, values: np.ndarray) -> None:
+        self.waiting.setdefault(key, []).append(values)
+        self.sizes[key] = self.sizes.get(key, 0) + len(values)
+        self.held += len(values)
+        if self.sizes[key] >= WAIT:
+            self._compact(key)
+
+    def _compact(self, key: tuple) -> None:
+        new = Sketch(np.concatenate(self.waiting.pop(key)))
+        self.held -= self.sizes.pop(key)
+        old = self.sketches.get(key)
+        self.sketches[key] = old.merge(new) if old else new
+
+    def full(self) -> bool:
+        return self.held > HELD_VALUES or len(self.sketches) + len(self.waiting) > HELD_GROUPS
+
+    def drain(self) -> Iterator[pa.RecordBatch]:
+        for key in list(self.waiting):
+            self._compact(key)
+        rows = [(*key, s.pack()) for key, s in self.sketches.items()]
+        self.__init__()
+        for i in range(0, len(rows), 2_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows[i : i + 2_000]), _arrow())], schema=_arrow())
+
+
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch one sketch of each (tbl, key, day); small groups are just their values."""
+    """One sketch of each (tbl, key, day) that the task meets, so a hot key is merged before it is shuffled; a task with very many groups gives some of them twice."""
+    groups = _Groups()
     for batch in batches:
-        table = pa.table(batch).sort_by([("tbl", "ascending"), ("key_value", "ascending"), ("day", "ascending")])
-        if not len(table):
+        if not len(batch):
             continue
+        table = pa.table(batch).sort_by([("tbl", "ascending"), ("key_value", "ascending"), ("day", "ascending")])
         codes = [table[c].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for c in ("tbl", "key_value", "day")]
         new = np.flatnonzero(np.any([np.diff(c) != 0 for c in codes], axis=0)) + 1
         starts = np.concatenate([[0], new])
-        ends = np.append(new, len(table))
         values = table["value"].combine_chunks().to_numpy(zero_copy_only=False)
-        groups = table.select(["tbl", "key_value", "day"]).take(starts)
-        sketches = [Sketch(values[a:b]).pack() for a, b in zip(starts, ends)]
-        out = groups.append_column("sketch", pa.array(sketches, pa.binary())).cast(_arrow())
-        yield from out.combine_chunks().to_batches()
+        keys = zip(*table.select(["tbl", "key_value", "day"]).take(starts).to_pydict().values())
+        for key, a, b in zip(keys, starts, np.append(new, len(table))):
+            groups.add(key, values[a:b])
+        if groups.full():
+            yield from groups.drain()
+    yield from groups.drain()
 
 
 def _merged(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[pa.RecordBatch]:

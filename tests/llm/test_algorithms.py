@@ -19,6 +19,8 @@ OTHER = ["git show 00dd56b1", "git show aedcf9d4", "cat /tmp/foo.txt", "cat /tmp
 def test_same_work(group):
     assert len({commands.command_key(c) for c in group}) == 1
 
+PS = [0.5, 0.75, 0.9, 0.95, 0.99, 0.999, 0.9999]
+
 
 def test_other_work():
     assert len({commands.command_key(c) for c in OTHER}) == len(OTHER)
@@ -78,6 +80,30 @@ def test_sketch_error(kind):
         assert (0 if low <= want <= high else min(abs(low - want), abs(high - want))) <= req.EPS * (n - want + 1)
 
 
+@pytest.mark.parametrize("kind", ["spread", "sorted", "ties"])
+def test_error_of_ten_million_values(kind):
+    n, rng = 10_000_000, np.random.default_rng(7)
+    values = rng.lognormal(3, 2, n) if kind == "spread" else np.arange(n, dtype=float) if kind == "sorted" else rng.integers(0, 5_000, n).astype(float)
+    days = []
+    for at in range(0, n, 50 * 4_096):
+        day = req.Sketch()
+        for k in range(at, min(n, at + 50 * 4_096), 4_096):
+            day.merge(req.Sketch(values[k : k + 4_096]))
+        days.append(req.Sketch.unpack(day.pack()))
+    mine = np.sort(values[: 50 * 4_096])
+    checks = [(days[0].quantiles(PS), mine)]
+    whole = req.Sketch()
+    for day in days:
+        whole.merge(day)
+    checks.append((whole.quantiles(PS), np.sort(values)))
+    for got, ordered in checks:
+        for p, q in zip(PS, got):
+            want = max(1, int(np.ceil(p * len(ordered))))
+            low, high = np.searchsorted(ordered, q, "left") + 1, np.searchsorted(ordered, q, "right")
+            assert max(0, low - want, want - high) <= req.EPS / 4 * (len(ordered) - want + 1) + 1
+    assert len(whole.pack()) < 80_000
+
+
 def test_small_sketches_are_exact():
     s = req.Sketch(np.array([3.0, 1.0, 2.0, -5.0]))
     assert s.quantiles([0.25, 0.5, 0.75, 1.0]) == [-5.0, 1.0, 2.0, 3.0]
