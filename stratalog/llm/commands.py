@@ -127,7 +127,7 @@ def command_key(cmd: str | None, depth: int = 0) -> str | None:
         if program in SETUP and not piped:
             continue
         quiet = program in REPORT and not any(r.startswith(">") for r in redirects)
-        if program in ("bash", "sh", "zsh") and len(core) == 3 and re.fullmatch(r"-\w*c", core[1]) and depth < 4:
+        if program in ("bash", "sh", "zsh") and len(core) == 3 and re.fullmatch(r"-\w*c", core[1]) and depth < 100:
             kept.append(command_key(core[2], depth + 1) or "")
             continue
         text = []

@@ -21,7 +21,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    return runs.collapse(table(spark, sf, "bash_rows"), least=2).select("sid", "low_row_id", "high_row_id")
+    return runs.collapse(table(spark, sf, "bash_rows"), least=2, texts=False).select("sid", "low_row_id", "high_row_id")
 
 
 def p1_runs(spark: SparkSession, sf: str) -> DataFrame:
