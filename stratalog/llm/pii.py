@@ -81,6 +81,9 @@ ADDRESS = re.compile(
 )
 LOWER_ADDRESS = re.compile(rf"(?<![\w.#/-])\d{{1,4}} [a-z]+ (?:street|road|lane|avenue|close|terrace|blvd|boulevard|drive|crescent)\b,\s*[A-Za-z]+|\b[a-zäöüß]{{4,}}(?:straße|strasse|str\.|gasse|allee) \d{{1,4}}\b", 0)
 
+#: Parts without one of which LOWER_ADDRESS matches nothing.
+LOWER_STREETS = ("street", "road", "lane", "avenue", "close", "terrace", "blvd", "boulevard", "drive", "crescent", "straße", "strasse", "str.", "gasse", "allee")
+
 WORD = re.compile(r"[^\W\d_]{2,}")
 _T = r"[^\W\d_]{2,}(?:[-'’][^\W\d_]{2,})*"
 _I = r"[^\W\d_]\."
@@ -113,7 +116,8 @@ def spans(text: str) -> list[tuple[int, int, str]]:
         take(SPELLED, "email")
     if DIGIT.search(text):
         take(ADDRESS, "address")
-        take(LOWER_ADDRESS, "address")
+        if any(word in text for word in LOWER_STREETS):
+            take(LOWER_ADDRESS, "address")
         take(ID_NUMBER, "id_number")
         take(PHONE, "phone")
     return sorted(found)
@@ -142,8 +146,7 @@ def candidates(text: str, taken: list[tuple[int, int, str]]) -> Iterator[tuple[i
         one, other = m["a"] or m["c"] or m["e"], m["b"] or (m["d"] if m["d"] and len(m["d"].rstrip(".")) > 1 else None)
         yield a, b, one, other
         # The next may begin at this one's second word.
-        nxt = FIRST_WORD.search(masked, a)
-        at = max(a + 1, nxt.end() if nxt else a + 1)
+        at = FIRST_WORD.match(masked, a).end()
 
 
 def cue(text: str, taken: list[tuple[int, int, str]], a: int, b: int, terms: list[str]) -> int:
@@ -165,25 +168,42 @@ def _local(email: str) -> str:
     return re.split(r"@|\s*[(\[{<]|\s", email)[0]
 
 
-def examine(text: str) -> tuple[tuple[str, ...], dict[str, int]]:
-    """(kinds of what the text holds for certain, occurrences in protected entities of each term that has any, in lower case)."""
+def examine(text: str) -> tuple[set[str], dict[str, int], set[str]]:
+    """(kinds of what the text holds for certain, occurrences in protected entities of each term that has any, in lower case, phrases).
+
+    A phrase is a name-shaped one that its terms decide on: term, other term or nothing, and c when it is capitalised, C when it also has a cue; joined by tabs.
+    """
     taken = spans(text)
-    kinds, guarded = {k for _, _, k in taken}, Counter()
+    kinds, guarded, phrases = {k for _, _, k in taken}, Counter(), set()
     for a, b, kind in taken:
         if kind == "email":
             guarded.update(p.lower() for p in PARTS.findall(_local(text[a:b])))
     for a, b, one, other in candidates(text, taken):
+        sign = ""
         if _capital(one) and (other is None or _capital(other)):
-            terms = [one, other] if other else [one]
+            terms, sign = [one, other] if other else [one], "c"
             bound = cue(text, taken, a, b, terms)
             if bound:
                 guarded.update(p.lower() for t in terms for p in PARTS.findall(t))
+                sign = "C"
             if bound == 2:
                 kinds.add("name")
-    if not guarded:
-        return tuple(kinds), {}
-    every = Counter(w.lower() for w in WORD.findall(text))
-    return tuple(kinds), {t: min(every[t], n) for t, n in guarded.items() if every[t]}
+        if other or sign:
+            phrases.add(f"{one}\t{other or ''}\t{sign}".lower() if sign != "C" else f"{one}\t{other or ''}\t".lower() + "C")
+    if guarded:
+        every = Counter(w.lower() for w in WORD.findall(text))
+        guarded = {t: min(every[t], n) for t, n in guarded.items() if every[t]}
+    return kinds, guarded, set() if "name" in kinds else phrases
+
+
+def decided(phrases: Iterable[str], terms: set[str], rare: set[str]) -> bool:
+    """Whether one of the phrases is a name; the same rule as named() has."""
+    for phrase in phrases:
+        one, other, sign = phrase.split("\t")
+        first, second = _sensitive(one, terms), bool(other) and _sensitive(other, terms)
+        if first and (second if other else True) or sign == "C" and (first or second or _sensitive(one, rare) or bool(other) and _sensitive(other, rare)):
+            return True
+    return False
 
 
 class Memo(dict):
@@ -218,21 +238,26 @@ def _mapped(texts: DataFrame, fn: Callable[[str], Iterable[tuple]], schema: str)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Memo(fn)
         for batch in batches:
-            out = [(tbl, row, field, *found) for tbl, row, field, text in zip(*[c.to_pylist() for c in batch.columns]) if text for found in known(text)]
+            at, out = [], []
+            for i, text in enumerate(batch.column(3).to_pylist()):
+                for found in known(text) if text else ():
+                    at.append(i)
+                    out.append(found)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out), arrow)], schema=arrow)
+                keys = [c.take(pa.array(at)) for c in batch.columns[:3]]
+                yield pa.RecordBatch.from_arrays([*keys, *(pa.array(c, t.type) for c, t in zip(zip(*out), list(arrow)[3:]))], schema=arrow)
 
     return texts.select(*KEYS, "text").mapInArrow(run, typed)
 
 
 def _examined(text: str) -> list[tuple]:
-    kinds, guarded = examine(text)
-    return [(list(kinds), list(guarded.items()))] if kinds or guarded else []
+    kinds, guarded, phrases = examine(text)
+    return [(list(kinds), list(guarded.items()), list(phrases))] if kinds or guarded or phrases else []
 
 
 def survey(texts: DataFrame) -> DataFrame:
-    """(tbl, row_id, field, kinds, terms): what the forms find in each text and the terms they protect, texts with neither left out; written once."""
-    return checkpointed(_mapped(texts, _examined, "kinds array<string>, terms map<string,bigint>"))
+    """(tbl, row_id, field, kinds, terms, phrases): what the forms find in each text, the terms they protect, and the phrases that terms decide on; written once."""
+    return checkpointed(_mapped(texts, _examined, "kinds array<string>, terms map<string,bigint>, phrases array<string>"))
 
 
 def _by_term(rows: DataFrame, name: str) -> DataFrame:
@@ -250,8 +275,8 @@ def disclosure(texts: DataFrame, seen: DataFrame, limit: int = BROADCAST_TERMS)
     shared = texts.sparkSession.sparkContext.broadcast({r.term for r in few}) if len(few) <= limit else None
 
     def every(text: str) -> list[tuple[str, int]]:
-        words = [w.lower() for w in WORD.findall(text)]
-        return list(Counter(words if shared is None else [w for w in words if w in shared.value]).items())
+        words = WORD.findall(text.lower()) if text.isascii() else [w.lower() for w in WORD.findall(text)]
+        return list(Counter(words if shared is None else filter(shared.value.__contains__, words)).items())
 
     table = guarded.join(_by_term(_mapped(texts, every, "term string, k bigint"), "n"), "term")
     return table.withColumn("share", F.col("guarded") / F.col("n")).where(F.col("share") >= DISCLOSURE).select("term", "n", "guarded", "share")
@@ -310,44 +335,55 @@ def find(texts: DataFrame, limit: int = BROADCAST_TERMS) -> DataFrame:
     seen = survey(texts)
     table, terms = _terms(texts, seen, limit)
     certain = seen.select(*KEYS, F.explode("kinds").alias("kind"))
+    phrases = seen.where(F.size("phrases") > 0).select(*KEYS, "phrases")
     if terms is None:
-        names = _names_by_join(texts, table)
+        names = _names_by_join(phrases, table)
     else:
-        shared = texts.sparkSession.sparkContext.broadcast((*terms, terms[0] | terms[1]))
+        shared = texts.sparkSession.sparkContext.broadcast(terms)
 
-        def found(text: str) -> list[tuple[str]]:
-            sensitive, rare, known = shared.value
-            if known.isdisjoint([w.lower() for w in WORD.findall(text)]):
-                return []
-            return [("name",)] if named(text, spans(text), sensitive, rare) else []
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield _kept(batch, [decided(p, *shared.value) for p in batch.column(3).to_pylist()])
 
-        names = _mapped(texts, found, "kind string")
+        names = phrases.mapInArrow(run, FOUND)
     return certain.unionByName(names).distinct()
 
 
-def _with_terms(texts: DataFrame, table: DataFrame) -> DataFrame:
-    """The texts with the terms that name-shaped phrases of each consist of, sensitive ones and others; instead of a broadcast."""
+FOUND = "tbl string, row_id bigint, field string, kind string"
 
-    def words(text: str) -> list[tuple[str]]:
-        return [(w,) for w in {w for _, _, one, other in candidates(text, spans(text)) for t in (one, other) if t for w in (t.lower(), *PARTS.findall(t.lower()))}]
 
-    hits = _mapped(texts, words, "term string").distinct().join(table, "term")
-    sets = hits.groupBy(*KEYS).agg(F.collect_list(F.when(F.col("sensitive"), F.col("term"))).alias("terms"), F.collect_list(F.when(~F.col("sensitive"), F.col("term"))).alias("rare"))
-    return texts.select(*KEYS, "text").join(sets, KEYS, "left")
+def _kept(batch: pa.RecordBatch, hit: list[bool]) -> pa.RecordBatch:
+    """The keys of a batch's rows that hold a name."""
+    rows = batch.select([0, 1, 2]).filter(pa.array(hit, pa.bool_()))
+    return pa.RecordBatch.from_arrays([*rows.columns, pa.array(["name"] * len(rows), pa.string())], names=[*KEYS, "kind"])
+
 
+def _terms_of(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """(tbl, row_id, field, terms, rare): which of a row's words are terms of disclosure; `rows` has (tbl, row_id, field, word)."""
+    hits = rows.distinct().join(table, rows["word"] == table["term"])
+    return hits.groupBy(*KEYS).agg(F.collect_list(F.when(F.col("sensitive"), F.col("term"))).alias("terms"), F.collect_list(F.when(~F.col("sensitive"), F.col("term"))).alias("rare"))
 
-def _names_by_join(texts: DataFrame, table: DataFrame) -> DataFrame:
-    """Rows with a name, without a broadcast: every name-shaped phrase is joined with the terms it consists of."""
+
+def _names_by_join(phrases: DataFrame, table: DataFrame) -> DataFrame:
+    """Rows with a name, without a broadcast: the words of every phrase are joined with the terms."""
+    both = F.flatten(F.transform("phrases", lambda p: F.slice(F.split(p, "\t"), 1, 2)))
+    words = F.array_union(both, F.flatten(F.transform(both, lambda t: F.regexp_extract_all(t, F.lit(r"\p{L}{3,}"), F.lit(0)))))
+    sets = _terms_of(phrases.select(*KEYS, F.explode(words).alias("word")), table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*[c.to_pylist() for c in batch.columns])
-            out = [(tbl, row, field, "name") for tbl, row, field, text, terms, rare in rows if named(text, spans(text), set(terms or ()), set(rare or ()))]
-            if out:
-                types = (pa.string(), pa.int64(), pa.string(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=[*KEYS, "kind"])
+            yield _kept(batch, [decided(p, set(terms), set(rare)) for p, terms, rare in zip(*[c.to_pylist() for c in batch.columns[3:]])])
+
+    return phrases.join(sets, KEYS).mapInArrow(run, FOUND)
+
+
+def _with_terms(texts: DataFrame, table: DataFrame) -> DataFrame:
+    """The texts with the terms that name-shaped phrases of each consist of, sensitive ones and others; instead of a broadcast."""
+
+    def words(text: str) -> list[tuple[str]]:
+        return [(w,) for w in {w for _, _, one, other in candidates(text, spans(text)) for t in (one, other) if t for w in (t.lower(), *PARTS.findall(t.lower()))}]
 
-    return _with_terms(texts, table).mapInArrow(run, "tbl string, row_id bigint, field string, kind string")
+    return texts.select(*KEYS, "text").join(_terms_of(_mapped(texts, words, "word string"), table), KEYS, "left")
 
 
 CLEAN = "tbl string, row_id bigint, field string, text string"
