@@ -168,8 +168,13 @@ def err_retry_loops(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def observations(spark: SparkSession, sf: str) -> DataFrame:
-    """Error texts with where they came from: failed shell calls that printed something."""
-    return facts.bash(spark, sf).where("err and length(out) > 0").select("sid", "proj", F.lit("Bash").alias("tool"), F.col("out").alias("msg"))
+    """Error texts with where they came from: those of all failed calls, and failed shell calls that printed something unless these are among them."""
+    bash = facts.bash(spark, sf).where("err and length(out) > 0").select("sid", "proj", F.lit("Bash").alias("tool"), F.col("out").alias("msg"))
+    errors = facts.errors(spark, sf)
+    if errors is None:
+        return bash
+    told = errors.select("sid", "proj", "tool", "msg")
+    return told.unionByName(bash) if told.where("tool = 'Bash'").isEmpty() else told
 
 
 @query(with_facts("b", "SELECT sid, proj, 'Bash' AS tool, count(*) AS n FROM b WHERE err AND length(out) > 0 GROUP BY ALL"))
@@ -185,14 +190,20 @@ _MSG = r"trim(regexp_replace(out, '\s+', ' ', 'g'))"
 
 
 @query(with_facts("b", f""", o AS (SELECT sid, proj, {_SIG} AS sig, {_MSG} AS msg FROM b WHERE err AND length(out) > 0),
-  g AS (SELECT sig, count(*) AS n, count(DISTINCT sid) AS sessions, array_to_string(list_sort(list_distinct(list(proj)))[1:5], ',') AS projects, substring(arg_min(msg, (length(msg), msg)), 1, 240) AS sample FROM o GROUP BY sig) {_ORDERED("n", "sig", "*")}"""))
+  g AS (SELECT sig, count(*) AS n, count(DISTINCT sid) AS sessions, array_to_string(list_sort(list_distinct(list(proj)))[1:5], ',') AS projects, substring(arg_min(msg, (length(msg), msg)), 1, 240) AS sample, 'Bash' AS top_tool FROM o GROUP BY sig) {_ORDERED("n", "sig", "*")}"""))
 def err_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """Errors of the same signature."""
-    o = observations(spark, sf).select("sid", "proj", T.error_signature(F.col("msg")).alias("sig"), T.collapse(F.col("msg")).alias("msg"))
+    return R.ranking(clusters(observations(spark, sf)), "n", "sig", TOP)
+
+
+def clusters(rows: DataFrame) -> DataFrame:
+    """Observations (sid, proj, tool, msg) by signature: how many, in how many sessions, first projects, shortest text, most frequent tool (ties: by name)."""
+    o = rows.select("sid", "proj", "tool", T.error_signature(F.col("msg")).alias("sig"), T.collapse(F.col("msg")).alias("msg"))
     g = o.groupBy("sig").agg(
         F.count("*").alias("n"), F.countDistinct("sid").alias("sessions"), F.array_join(F.slice(F.array_sort(F.collect_set("proj")), 1, 5), ",").alias("projects"), F.substring(R.shortest("msg"), 1, 240).alias("sample")
     )
-    return R.ranking(g, "n", "sig", TOP)
+    top = o.groupBy("sig", "tool").agg(F.count("*").alias("k")).groupBy("sig").agg(R.mode("tool", "k").alias("top_tool"))
+    return g.join(top, g["sig"].eqNullSafe(top["sig"])).drop(top["sig"])
 
 
 #: How a shell or a runtime names a program it can't find, and what a refused call was refused on.

@@ -14,10 +14,11 @@ CELL, ROWS = 70, 25
 
 
 def write_facts(tables: dict[str, DataFrame], out: str, order: dict[str, list[str]] | None = None) -> None:
-    """Each table as parquet and as JSON lines without null fields, under `out`/<format>/<table>; ordered where an order is given."""
+    """Each table once as parquet, `out`/<table>.parquet, and from there as JSON lines without null fields, `out`/json/<table>; ordered where an order is given."""
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{out}/parquet/{name}")
-        rows = df.orderBy(*order[name]) if order and name in order else df
+        df.write.mode("overwrite").parquet(f"{out}/{name}.parquet")
+        rows = df.sparkSession.read.parquet(f"{out}/{name}.parquet")
+        rows = rows.orderBy(*order[name]) if order and name in order else rows
         rows.write.mode("overwrite").option("ignoreNullFields", "true").json(f"{out}/json/{name}")
 
 
@@ -64,8 +65,8 @@ def report_md(title: str, sections: dict[str, DataFrame]) -> str:
 
 
 def findings_json(findings: DataFrame) -> str:
-    """Findings in a fixed key order, with counts by severity, zeros included."""
-    rows = rows_of(findings)
+    """Findings in a fixed key order, with counts by severity, zeros included; however many there are, fetched part by part."""
+    rows = [r.asDict(recursive=True) for r in findings.toLocalIterator()]
     counts = {s: sum(r.get("severity") == s for r in rows) for s in ("critical", "high", "med", "low")}
     keys = ["vault", "check", "severity", "note", "line", "evidence"]
     return json.dumps({"schemaVersion": 1, "severityCounts": counts, "findings": [{k: r[k] for k in keys if r.get(k) is not None} for r in rows]}, indent=2, ensure_ascii=False)

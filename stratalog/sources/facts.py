@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalog.functions import text as T
 from stratalog.sources.tables import table
 
 
@@ -14,7 +16,22 @@ def distinct_rows(df: DataFrame, key: str = "row_id") -> DataFrame:
 
 
 def tools(spark: SparkSession, sf: str) -> DataFrame:
-    return distinct_rows(table(spark, sf, "tool_rows"))
+    return distinct_rows(all_tools(table(spark, sf, "tool_rows"), table(spark, sf, "bash_rows")))
+
+
+def all_tools(tool_rows: DataFrame, bash_rows: DataFrame) -> DataFrame:
+    """Tool rows, and the shell calls as such where tool rows have none at all, so that no call counts twice."""
+    if not tool_rows.where("tool = 'Bash'").isEmpty():
+        return tool_rows
+    return tool_rows.unionByName(bash_rows.withColumns({"tool": F.lit("Bash"), "arg": T.clip(F.col("cmd"), 200)}).select(*tool_rows.columns))
+
+
+def errors(spark: SparkSession, sf: str) -> DataFrame | None:
+    """Failed calls of all tools, None where the tables have no such one."""
+    try:
+        return distinct_rows(table(spark, sf, "error_rows"))
+    except AnalysisException:
+        return None
 
 
 def bash(spark: SparkSession, sf: str) -> DataFrame:

@@ -145,7 +145,32 @@ def test_second_format(spark):
 def test_command_line(spark, tree, tmp_path, capsys):
     from stratalog import cli
 
+    secret = "ghp_" + "A" * 36
+    rows = [
+        user("x" * 3_990 + " token " + secret), assistant("r9", [{"type": "tool_use", "id": "b1", "name": "Bash", "input": {"command": "cd /x && pnpm build", "description": "d", "run_in_background": True}}]),
+        user([{"type": "tool_result", "tool_use_id": "b1", "is_error": True, "content": "y" * 580 + " " + secret}]),
+    ]
+    (tree / "-proj/main2.jsonl").write_text("\n".join(json.dumps(r) for r in rows))
     assert cli.main(["ingest", str(tree), "--out", str(tmp_path / "facts")]) == 0
-    assert spark.read.json(str(tmp_path / "facts/json/tools")).count() == 5
+    read = lambda n: spark.read.parquet(str(tmp_path / f"facts/{n}.parquet"))
+    assert spark.read.json(str(tmp_path / "facts/json/tool_rows")).count() == read("tool_rows").count() == 6
+    b = read("bash_rows").where("sid = 'main2'").first()
+    assert (b.cmd, b.family, b.bin, b["desc"], b.bg, b.err, b.outChars) == ("cd /x && pnpm build", "pnpm build", "pnpm", "d", True, True, 621)
+    e = read("error_rows").where("sid = 'main2'").first()
+    assert (e.tool, e.msg) == ("Bash", "y" * 580 + " [REDACTED]") and b.out == e.msg
+    assert not read("user_msg_rows").where("sid = 'main2' and text like '%ghp%'").count() and read("user_msg_rows").where("sid = 'main2'").first().text.startswith("xxx")
+    m = read("session_rows").where("sid = 'main1'").first()
+    assert (m.proj, m.kind, m.assistantMsgs, m.userMsgs, m.inTokens, m.maxCtx, m.interrupts) == ("-proj", "main", 3, 4, 15, 80, 2) and sum(m.models.values()) == 2
+    assert cli.main(["report", str(tree), "--format", "json", "--out", str(tmp_path / "r.json")]) == 0
+    got = json.loads((tmp_path / "r.json").read_text())
+    assert [c["top_tool"] for c in got["err_clusters"] if c["sig"].startswith("yyy")] == ["Bash"] and got["window_section"][0]["files"] == 5
     assert cli.main(["session", str(tree), "main1", "--out", str(tmp_path / "s.html")]) == 0
     assert "<svg" in (tmp_path / "s.html").read_text()
+
+
+def test_window_drops_old_sessions(spark, tree):
+    old = {"type": "user", "timestamp": "2001-01-01T00:00:00Z", "message": {"content": "old"}}
+    (tree / "-other/old.jsonl").write_text(json.dumps(old))
+    facts = X.tree_facts(spark, str(tree), since="2002-01-01T00:00:00")
+    assert facts["session_rows"].where("sid = 'old'").count() == 0 == facts["user_msg_rows"].where("sid = 'old'").count()
+    assert X.tree_facts(spark, str(tree))["session_rows"].where("sid = 'old'").count() == 1
