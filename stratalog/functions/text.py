@@ -131,6 +131,13 @@ def words(s: Column) -> Column:
     return F.filter(F.split(F.lower(s), "[^a-z0-9]+"), lambda w: w != "")
 
 
+def shingle_hashes(s: Column, k: int) -> Column:
+    """A 64-bit hash of each k successive words; the words are an array that is evaluated once."""
+    none = F.array().cast("array<bigint>")
+    each = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.xxhash64(*[F.element_at(w, i + j) for j in range(k)]))
+    return F.element_at(F.transform(F.array(words(s)), lambda w: F.when(F.size(w) >= k, each(w)).otherwise(none)), 1)
+
+
 def shingles(s: Column, k: int = 3) -> Column:
     """Distinct runs of k words, one pass over an array that is evaluated once."""
     made = F.transform(

@@ -18,33 +18,32 @@ K, LEAST = 5, 0.8
 
 
 def sets(df: DataFrame, key: str, text: str, k: int = K, group: str | None = None) -> DataFrame:
-    """(grp, key, cls, shingles): cls is the smallest key with an equal shingle set in the group. Texts too short for a shingle are left out.
+    """(grp, key, cls, s): cls is the smallest key with an equal shingle set in the group; s, for that key alone, is the set as sorted 64-bit hashes.
 
-    A set is known by a 128-bit digest and its size. Each class's smallest key is an aggregate with map-side combining, so a text that a third of
-    all rows copy arrives as one partial a task; its rows are joined back with that single row, which adaptive skew joins split.
+    Texts too short for a shingle are left out. A set is known by two hashes and its size. Each class's smallest key is an aggregate with map-side
+    combining, so a text that a third of all rows copy arrives as one partial a task; its rows are joined back with that single row,
+    which adaptive skew joins split.
     """
-    rows = df.select((F.col(group) if group else F.lit("")).alias("grp"), F.col(key).alias("key"), F.array_sort(T.shingles(F.col(text), k)).alias("shingles")).where("size(shingles) > 0")
-    rows = rows.withColumns({"digest": F.md5(F.array_join("shingles", "\n").cast("binary")), "size": F.size("shingles")})
-    same = rows.groupBy("grp", "digest", "size").agg(F.min("key").alias("cls"))
-    return rows.join(same, ["grp", "digest", "size"]).select("grp", "key", "shingles", "cls")
+    rows = df.select((F.col(group) if group else F.lit("")).alias("grp"), F.col(key).alias("key"), F.array_sort(F.array_distinct(T.shingle_hashes(F.col(text), k))).alias("s")).where(F.size("s") > 0)
+    rows = rows.withColumns({"d1": F.xxhash64("s"), "d2": F.xxhash64(F.lit(7), "s"), "size": F.size("s")})
+    same = rows.groupBy("grp", "d1", "d2", "size").agg(F.min("key").alias("cls"))
+    return rows.join(same, ["grp", "d1", "d2", "size"]).select("grp", "key", "cls", F.when(F.col("key") == F.col("cls"), F.col("s")).alias("s"))
 
 
 def classes(set_rows: DataFrame) -> DataFrame:
-    """One row a class, with its shingles as sorted 64-bit hashes: equal in effect, and a fraction of the bytes."""
-    return set_rows.where("key = cls").select("grp", "cls", F.array_sort(F.transform("shingles", lambda s: F.xxhash64(s))).alias("s"))
+    """One row a class, with its shingles."""
+    return set_rows.where("key = cls").select("grp", "cls", "s")
 
 
 def pairs(class_rows: DataFrame, least: float = LEAST) -> DataFrame:
     """(grp, a, b, jaccard), a < b, of all class pairs with a similarity of `least` or more."""
-    c = class_rows.select("grp", "cls", "s", F.size("s").alias("n"))
-    df = c.select("grp", F.explode("s").alias("h")).groupBy("grp", "h").agg(F.count("*").alias("df"))
-    ranked = c.select("grp", "cls", "n", F.explode("s").alias("h")).join(df, ["grp", "h"])
-    order = Window.partitionBy("grp", "cls").orderBy("df", "h")
+    c = class_rows.select("grp", "cls", F.size("s").alias("n"), F.explode("s").alias("h"))
+    df = c.groupBy("grp", "h").agg(F.count("*").alias("df")).where("df > 1")
+    mine = Window.partitionBy("grp", "cls")
     keep = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1
-    prefix = ranked.where("df > 1").withColumn("at", F.row_number().over(order))
+    prefix = c.join(df, ["grp", "h"]).withColumns({"at": F.row_number().over(mine.orderBy("df", "h")), "shared": F.count("*").over(mine)})
     # Shingles of one class only can't be shared, but they do take up places of the prefix.
-    lonely = ranked.groupBy("grp", "cls").agg(F.count_if(F.col("df") == 1).alias("lonely"))
-    prefix = prefix.join(lonely, ["grp", "cls"]).where(F.col("at") + F.col("lonely") <= keep).select("grp", "cls", "n", "h")
+    prefix = prefix.where(F.col("at") + F.col("n") - F.col("shared") <= keep).select("grp", "cls", "n", "h")
     a, b = prefix.alias("a"), prefix.alias("b")
     met = a.join(b, (F.col("a.grp") == F.col("b.grp")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.cls") < F.col("b.cls")) & (F.least("a.n", "b.n") >= F.lit(least) * F.greatest("a.n", "b.n") - 1e-9))
     met = met.select(F.col("a.grp").alias("grp"), F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalog.plans import fleet
 from stratalog.plans.catalogue import Catalogue
 from stratalog.sources import transcripts as X
 from stratalog.sources.facts import distinct_rows, with_facts
@@ -85,10 +86,53 @@ def fact_interrupts(spark: SparkSession, sf: str) -> DataFrame:
     return X.interrupts(X.parse(lines(spark, sf)))
 
 
-@query()
+_FLAT = """CASE WHEN json_type(b, '$.content') = 'ARRAY' THEN array_to_string(list_transform(CAST(json_extract(b, '$.content') AS JSON[]), lambda x: CASE WHEN json_extract_string(x, '$.type') = 'text' THEN coalesce(json_extract_string(x, '$.text'), '') ELSE '' END), chr(10))
+    ELSE coalesce(json_extract_string(b, '$.content'), '') END"""
+_CALLS = f""", {_BLOCKS},
+  c AS (SELECT sid, json_extract_string(b, '$.id') AS id, json_extract_string(b, '$.name') AS tool, json_extract(b, '$.input') AS input, {_MS} AS ms FROM o WHERE kind = 'tool_use' AND json_type(b, '$.id') = 'VARCHAR' QUALIFY row_number() OVER (PARTITION BY sid, id ORDER BY line_no, pos) = 1),
+  e AS (SELECT sid, json_extract_string(b, '$.tool_use_id') AS id, {_MS} AS ms, coalesce(json_extract(b, '$.is_error') = 'true', false) AS err, raw, {_FLAT} AS flat
+    FROM o WHERE kind = 'tool_result' AND json_type(b, '$.tool_use_id') = 'VARCHAR' QUALIFY row_number() OVER (PARTITION BY sid, id ORDER BY line_no, pos) = 1),
+  r AS (SELECT sid, id, ms, err, CASE WHEN flat = '' AND json_type(raw, '$.toolUseResult') = 'OBJECT' THEN coalesce(json_extract_string(raw, '$.toolUseResult.stdout'), '') || coalesce(json_extract_string(raw, '$.toolUseResult.stderr'), '') ELSE flat END AS text FROM e),
+  t AS (SELECT sid, id, coalesce(c.tool, 'unknown') AS tool, c.input, coalesce(c.ms, r.ms) AS t_ms, CASE WHEN c.id IS NOT NULL AND r.ms IS NOT NULL AND c.ms IS NOT NULL THEN greatest(0, r.ms - c.ms) / 1000.0::DOUBLE END AS dur_sec,
+    coalesce(r.err, false) AS err, coalesce(r.text, '') AS text, length(coalesce(r.text, '')) + length(regexp_replace(coalesce(r.text, ''), '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) AS out_chars FROM c FULL JOIN r USING (sid, id))"""
+
+
+def _calls(spark: SparkSession, sf: str) -> DataFrame:
+    return X.call_results(X.content_blocks(lines(spark, sf)))
+
+
+@query(with_facts("l", _CALLS + " SELECT sid, id, tool, t_ms, dur_sec, err, out_chars FROM t"))
 def fact_tools(spark: SparkSession, sf: str) -> DataFrame:
-    """Tool rows with argument and output size; the flattening of results has its tests on fixtures."""
-    return X.call_results(X.content_blocks(lines(spark, sf))).select("sid", "id", "tool", "t_ms", "dur_sec", "err", "out_chars", "arg")
+    """Tool rows with the size of the whole output."""
+    return _calls(spark, sf).select("sid", "id", "tool", "t_ms", "dur_sec", "err", "out_chars")
+
+
+@query()
+def fact_tool_args(spark: SparkSession, sf: str) -> DataFrame:
+    return _calls(spark, sf).select("sid", "id", "tool", "arg")
+
+
+_INPUT = lambda k: f"json_extract_string(input, '$.{k}')"
+
+
+@query(with_facts("l", _CALLS + f""" SELECT sid, id, coalesce({_INPUT('command')}, {_INPUT('cmd')}, '') AS cmd, {_INPUT('description')} AS descr, err, out_chars, substring(text, 1, CASE WHEN err THEN {X.OUT_ERR} ELSE {X.OUT_OK} END) AS out FROM t WHERE tool = 'Bash'"""))
+def fact_bash(spark: SparkSession, sf: str) -> DataFrame:
+    """Shell rows; their family, program and background flag are those of normalize_command."""
+    return X.bash_rows(_calls(spark, sf)).select("sid", "id", "cmd", F.col("desc").alias("descr"), "err", "out_chars", "out")
+
+
+@query(with_facts("l", _CALLS + f" SELECT sid, id, tool, substring(text, 1, {X.ERROR}) AS msg FROM t WHERE err"))
+def fact_error(spark: SparkSession, sf: str) -> DataFrame:
+    return X.error_rows(_calls(spark, sf)).select("sid", "id", "tool", "msg")
+
+
+@query(with_facts("l", _CALLS + f""", w AS (SELECT sid, tool, substring(text, 1, {X.ERROR}) AS out FROM t WHERE err), v AS (SELECT sid, tool, {fleet._SIG} AS sig FROM w),
+  m AS (SELECT sig, tool, count(*) AS k FROM v GROUP BY ALL), g AS (SELECT sig, count(*) AS n, count(DISTINCT sid) AS sessions FROM v GROUP BY sig)
+  SELECT g.sig, n, sessions, (SELECT arg_min(tool, (-k, tool)) FROM m WHERE m.sig = g.sig) AS top_tool FROM g"""))
+def fact_error_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    """Errors of all tools by signature, with the tool that fails so most often."""
+    rows = X.error_rows(_calls(spark, sf)).select("sid", F.lit(None).cast("string").alias("proj"), "tool", "msg")
+    return fleet.clusters(rows).select("sig", "n", "sessions", "top_tool")
 
 
 @query()
