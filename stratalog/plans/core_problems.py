@@ -127,7 +127,7 @@ _ORPHANS = f"""WITH {_CALLS}, sids AS (
 _STATED = "(SELECT line_type FROM line_contract)"
 _DELIVERED = f"""WITH RECURSIVE lines AS (SELECT line_id, any_value(sid) AS sid, any_value(raw) AS raw FROM transcript_lines WHERE json_valid(raw) AND json_type(raw) = 'OBJECT' GROUP BY line_id),
   opened AS (
-    SELECT line_id, sid, coalesce(CASE WHEN json_extract_string(raw, '$.type') IN {_STATED} THEN json_extract_string(raw, '$.type') END, CASE WHEN json_extract_string(raw, '$.lineType') IN {_STATED} THEN json_extract_string(raw, '$.lineType') END) AS line_type,
+    SELECT line_id, sid, coalesce({', '.join(f"CASE WHEN json_extract_string(raw, '$.{p}') IN {_STATED} THEN json_extract_string(raw, '$.{p}') END" for p in ('type', 'type.name', 'lineType'))}) AS line_type,
       '' AS parent, CAST(raw AS JSON) AS o FROM lines
     UNION ALL
     SELECT line_id, sid, k.line_type, k.path, v FROM (
