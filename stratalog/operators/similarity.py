@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalog.functions import text as T
+from stratalog.operators import overlap
 from stratalog.sources.tables import checkpointed
 
 K, LEAST = 5, 0.8
@@ -68,26 +69,42 @@ def related(class_rows: DataFrame) -> DataFrame:
     return rows.withColumns({"jaccard": F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), "containment": F.col("shared") / F.least("na", "nb")})
 
 
-#: Rows of one shingle that meet in one place; longer lists are cut in blocks, and each pair of blocks is a place of its own.
-BLOCK = 2_000
+#: Texts, and characters of text, of a block; groups with more are cut in blocks, and each pair of blocks is a place of its own.
+BLOCK, CHARS = 10_000, 8_000_000
 
 
-def alike(class_rows: DataFrame, jaccard: float, containment: float, block: int = BLOCK) -> DataFrame:
-    """As `related`, of pairs with at least that Jaccard similarity or that containment; for groups of any size.
+def texts(df: DataFrame, key: str, text: str, k: int, group: str, block: int = BLOCK, **more: Column) -> DataFrame:
+    """(grp, of, cls, s) for `alike`: s is the text's words with single blanks, of the number of blocks of its group; texts too short for a shingle are left out.
 
-    Shingles of one class alone are left out before the join and blocks of hot ones meet pair by pair, so no task has a whole square. A pair out of reach by
-    its sizes alone can still be a containment, and one with a single shared shingle is judged by its counts, which are combined before they are shuffled.
+    Words are sent instead of hashes of shingles: they compress, hashes don't. Equal ones are one row with the smallest key, combined before they are shuffled; `more` are
+    further aggregates of those. Only groups of several blocks are broadcast, of which a corpus of n texts has n / block at most and a few by length.
     """
-    h = class_rows.select("grp", "cls", F.size("s").alias("n"), F.explode("s").alias("h"))
-    df = h.groupBy("grp", "h").agg(F.count("*").alias("df")).where("df > 1")
-    h = h.join(df, ["grp", "h"]).withColumn("of", F.ceil(F.col("df") / block).cast("int")).withColumn("at", F.pmod(F.xxhash64("cls"), F.col("of")).cast("int"))
-    places = F.explode(F.sequence(F.lit(0), F.col("of") - 1))
-    a = h.withColumn("other", places).select("grp", "h", F.col("at").alias("x"), F.col("other").alias("y"), F.col("cls").alias("a"), F.col("n").alias("na"))
-    b = h.withColumn("other", places).select("grp", "h", F.col("other").alias("x"), F.col("at").alias("y"), F.col("cls").alias("b"), F.col("n").alias("nb"))
-    met = a.join(b, ["grp", "h", "x", "y"]).where("a < b")
-    rows = met.groupBy("grp", "a", "b").agg(F.count("*").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    rows = rows.withColumns({"jaccard": F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), "containment": F.col("shared") / F.least("na", "nb")})
-    return rows.where((F.col("jaccard") >= jaccard) | (F.col("containment") >= containment))
+    size = df.groupBy(F.col(group).alias("grp")).agg(F.greatest(F.ceil(F.sum(F.length(text)) / CHARS), F.ceil(F.count("*") / block)).cast("int").alias("of")).where("of > 1")
+    words = F.trim(F.regexp_replace(F.lower(F.col(text)), "[^a-z0-9]+", " "))
+    rows = df.withColumns({"grp": F.col(group), "s": words}).where(F.col("grp").isNotNull() & F.col("s").rlike(rf"^(?:\w+ ){{{k - 1}}}\w"))
+    rows = rows.groupBy("grp", "s").agg(F.min(key).alias("cls"), *[c.alias(n) for n, c in more.items()])
+    return rows.join(F.broadcast(size), "grp", "left").withColumn("of", F.coalesce("of", F.lit(1)))
+
+
+def alike(class_rows: DataFrame, jaccard: float, containment: float, block: int = BLOCK, k: int = 0) -> DataFrame:
+    """(grp, a, b, jaccard, containment), a < b, of pairs of classes with at least that Jaccard similarity or that containment; for groups of any size.
+
+    class_rows: of `classes`, or of `texts` with the `k` of its shingles. Pairs that share a shingle are nearly all pairs of a vault, so none is shuffled: each pair of a group's
+    blocks is a place to which both blocks' rows are sent, shingles shared are counted there one row against a block, and only pairs that are alike leave it.
+    A set's block follows from the set, so texts with equal sets meet and are one class. With members (see `linked`), pairs that are linked are left out.
+    """
+    if "of" not in class_rows.columns:
+        size = class_rows.groupBy("grp").agg(F.ceil(F.count("*") / block).cast("int").alias("of"))
+        class_rows = class_rows.join(size, "grp")
+    hashes = F.array_distinct(T.shingle_hashes(F.col("s"), k) if k else F.col("s"))
+    digest = F.aggregate(hashes, F.lit(0).cast("bigint"), lambda z, h: z.bitwiseXOR(h))
+    at = F.when(F.col("of") > 1, F.pmod(digest, F.col("of"))).otherwise(0).cast("int")
+    rows = class_rows.withColumn("at", at).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
+    more = [c for c in ("notes", "members") if c in rows.columns]
+    rows = rows.select("grp", F.least("at", "other").alias("x"), F.greatest("at", "other").alias("y"), "at", "cls", "s", *more)
+    rows = rows.repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y")
+    kind = class_rows.schema["cls"].dataType.simpleString()
+    return rows.mapInArrow(overlap.searcher(k, jaccard, containment), f"grp string, a {kind}, b {kind}, jaccard double, containment double")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

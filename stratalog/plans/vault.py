@@ -245,6 +245,10 @@ _ALIKE = f"""i AS ({_shingled('note, vault', 'body', 3, 'n')}), q AS (SELECT not
     FROM c a JOIN c b ON a.h = b.h AND a.vault = b.vault AND a.cls < b.cls GROUP BY ALL)"""
 
 
+def _alike(spark: SparkSession, sf: str, jaccard: float, containment: float) -> DataFrame:
+    return M.alike(M.texts(plain(spark, sf), "note", "body", 3, "vault"), jaccard, containment, k=3).withColumnRenamed("grp", "vault")
+
+
 def _note_sets(spark: SparkSession, sf: str) -> DataFrame:
     return M.sets(plain(spark, sf), "note", "body", 3, "vault")
 
@@ -259,8 +263,7 @@ def similar_notes(spark: SparkSession, sf: str) -> DataFrame:
 @query(sql(f", {_ALIKE} SELECT vault, a, b, {sql_half_up('containment', 6)} AS containment FROM p WHERE containment >= 0.7 AND jaccard < 0.18"))
 def note_subsumption(spark: SparkSession, sf: str) -> DataFrame:
     """One note holds most of the other, yet they aren't alike."""
-    found = M.alike(M.classes(_note_sets(spark, sf)), 2, 0.7).where("jaccard < 0.18").withColumnRenamed("grp", "vault")
-    return found.select("vault", "a", "b", N.half_up(F.col("containment"), 6).alias("containment"))
+    return _alike(spark, sf, 2, 0.7).where("jaccard < 0.18").select("vault", "a", "b", N.half_up(F.col("containment"), 6).alias("containment"))
 
 
 def linked_classes(link_rows: DataFrame, note_rows: DataFrame, class_of: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -108,6 +109,41 @@ def test_missing_links_between_notes(spark, tmp_path):
     assert got() == {(1, 2), (1, 3), (2, 3), (8, 9)}
 
 
+def exchanged(df):
+    """The columns by which the plan's rows are shuffled."""
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    return [{c.split("#")[0].strip() for c in m.split(",")} for m in re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", plan)]
+
+
+def vault_of(spark, tmp_path, texts):
+    rows = [(i, f"v{i % 2}", f"n{i}", t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, source string, slug string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
+
+
+def overlaps(texts):
+    """(shared, na, nb) of the pairs of classes in each of two vaults."""
+    shingle = lambda t: frozenset(tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2))
+    out = {}
+    for v in range(2):
+        sets = {}
+        for i, t in enumerate(texts):
+            if i % 2 == v and shingle(t):
+                sets.setdefault(shingle(t), i)
+        out |= {(f"v{v}", i, j): (len(s & r), len(s), len(r)) for s, i in sets.items() for r, j in sets.items() if i < j}
+    return out
+
+
+def test_subsumed_notes_shuffle_no_pairs(spark, tmp_path):
+    rng = random.Random(8)
+    base = "".join(rng.choices("abcdef", k=30))
+    texts = [" ".join(base[: rng.choice([4, 5, 29])]) + " " + " ".join(rng.choices("uvwxyz", k=rng.choice([1, 2, 40]))) for _ in range(80)] + ["a b", ""]
+    df = P.note_subsumption(spark, vault_of(spark, tmp_path, texts))
+    want = {p for p, (n, a, b) in overlaps(texts).items() if n / min(a, b) >= 0.7 and n / (a + b - n) < 0.18}
+    assert want and {(r.vault, r.a, r.b) for r in df.collect()} == want
+    assert all(not by & {"h", "a", "b"} for by in exchanged(df))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r.node: r.root for r in M.components(spark.createDataFrame(edges, "a int, b int")).collect()}
