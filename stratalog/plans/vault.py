@@ -256,8 +256,7 @@ def _note_sets(spark: SparkSession, sf: str) -> DataFrame:
 @query(sql(f", {_ALIKE} SELECT vault, a, b, {sql_half_up('jaccard', 6)} AS jaccard FROM p WHERE jaccard >= 0.18"))
 def similar_notes(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of classes of a vault's notes with equal three-word shingle sets that are alike."""
-    found = M.alike(M.classes(_note_sets(spark, sf)), 0.18, 2).withColumnRenamed("grp", "vault")
-    return found.select("vault", "a", "b", N.half_up(F.col("jaccard"), 6).alias("jaccard"))
+    return _alike(spark, sf, 0.18, 2).select("vault", "a", "b", N.half_up(F.col("jaccard"), 6).alias("jaccard"))
 
 
 @query(sql(f", {_ALIKE} SELECT vault, a, b, {sql_half_up('containment', 6)} AS containment FROM p WHERE containment >= 0.7 AND jaccard < 0.18"))

@@ -144,6 +144,24 @@ def test_subsumed_notes_shuffle_no_pairs(spark, tmp_path):
     assert all(not by & {"h", "a", "b"} for by in exchanged(df))
 
 
+def test_similar_notes_shuffle_no_pairs(spark, tmp_path):
+    texts = [" ".join(f"w{(i * 7 + k) % 60}" for k in range(3 + i % 25)) for i in range(90)]
+    df = P.similar_notes(spark, vault_of(spark, tmp_path, texts))
+    want = {p for p, (n, a, b) in overlaps(texts).items() if n / (a + b - n) >= 0.18}
+    assert want and {(r.vault, r.a, r.b) for r in df.collect()} == want
+    assert all(not by & {"h", "a", "b"} for by in exchanged(df))
+
+
+def test_texts_in_blocks_like_brute_force(spark, tmp_path):
+    rng = random.Random(10)
+    texts = [" ".join(rng.choices("abcd", k=rng.choice([3, 5, 8, 40]))) for _ in range(60)]
+    texts += [texts[0], "a b c a b c a", "b c a b c a b"]  # a copy, and two texts with equal sets
+    rows = P.plain(spark, vault_of(spark, tmp_path, texts))
+    for j, k in ((0.18, 2), (2, 0.7), (0.08, 2)):
+        want = {p for p, (n, a, b) in overlaps(texts).items() if n / (a + b - n) >= j or n / min(a, b) >= k}
+        assert {(r.grp, r.a, r.b) for r in M.alike(M.texts(rows, "note", "body", 3, "vault", 7), j, k, k=3).collect()} == want
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r.node: r.root for r in M.components(spark.createDataFrame(edges, "a int, b int")).collect()}
