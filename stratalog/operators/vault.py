@@ -66,6 +66,13 @@ def links(note_rows: DataFrame) -> DataFrame:
     return rows.where(F.contains("row", F.lit("["))).select("vault", "note", "slug", "line", F.explode(found).alias("l")).select("vault", "note", "slug", "line", "l.kind", T.normalize_slug(F.col("l.raw")).alias("target"))
 
 
+def link_targets(body: Column) -> Column:
+    """The distinct targets of a body's links, as `links` has them, without a row a link."""
+    rows = F.filter(F.split(body, "\n"), lambda row: F.contains(row, F.lit("[")))
+    raw = F.flatten(F.transform(rows, lambda row: F.concat(*T.wiki_and_markdown_links(row))))
+    return F.array_distinct(F.transform(raw, T.normalize_slug))
+
+
 def resolve(link_rows: DataFrame, note_rows: DataFrame) -> DataFrame:
     """Links with `hits`, the notes of that slug in the vault, and `to`, the first of them."""
     by_slug = note_rows.where("slug is not null").groupBy("vault", F.lower("slug").alias("target")).agg(F.count("*").alias("hits"), F.min("note").alias("to"))

@@ -162,6 +162,24 @@ def test_texts_in_blocks_like_brute_force(spark, tmp_path):
         assert {(r.grp, r.a, r.b) for r in M.alike(M.texts(rows, "note", "body", 3, "vault", 7), j, k, k=3).collect()} == want
 
 
+def test_linked_notes_in_blocks(spark, tmp_path):
+    rng = random.Random(11)
+    same = " ".join(f"w{i}" for i in range(12))
+    texts = [f"{same} " + " ".join(f"n{i % 24}x{k}" for k in range(30)) + "".join(f" [[n{rng.randrange(60)}|]]" for _ in range(rng.randrange(60))) for i in range(60)]
+    rows = P.plain(spark, vault_of(spark, tmp_path, texts)).withColumn("text", F.split("body", r" \[").getItem(0)).withColumn("links", V.link_targets(F.col("body")))
+    member = F.when(F.size("links") > 0, F.struct(F.lower("slug").alias("slug"), "links")).otherwise(F.struct(F.lower("slug").alias("slug"), F.lit(None).cast("array<string>").alias("links")))
+    links = {(i, int(x)) for i, t in enumerate(texts) for x in re.findall(r"\[\[n(\d+)", t) if int(x) % 2 == i % 2 and int(x) != i}
+    assert links and {(i, int(x[1:])) for i, xs in ((r.note, r.links) for r in rows.collect()) for x in xs if int(x[1:]) % 2 == i % 2 and int(x[1:]) != i} == links
+    cls = {c: [i for i in range(60) if i % 24 == c] for c in range(24)}
+    whole = lambda p, q: all((x, y) in links or (y, x) in links for x in cls[p] for y in cls[q])
+    want = {(p, q) for p, q in itertools.combinations(range(24), 2) if p % 2 == q % 2 and not whole(p, q)}
+    for block in (3, 1000):
+        c = M.texts(rows, "note", "text", 3, "vault", block, notes=F.count("*"), members=F.collect_list(member))
+        assert {(r.a, r.b) for r in M.alike(c, 0.08, 2, k=3).collect()} == want
+    assert len(want) < len([1 for p, q in itertools.combinations(range(24), 2) if p % 2 == q % 2])
+    assert all(not by & {"h", "a", "b"} for by in exchanged(P.note_missing_link(spark, str(tmp_path))))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r.node: r.root for r in M.components(spark.createDataFrame(edges, "a int, b int")).collect()}
