@@ -79,27 +79,53 @@ def resolve(link_rows: DataFrame, note_rows: DataFrame) -> DataFrame:
     return link_rows.join(by_slug, ["vault", "target"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
 
 
+#: Characters of the piece by which containment meets.
+GRAM = 4
+
+
+def _pieces(c: str, edits: int = 2) -> Column:
+    """Keys of a word: itself in `edits` + 1 even pieces; a word so many edits away keeps one of them."""
+    n = F.length(c)
+    return F.array(*[F.concat_ws("/", n, F.lit(i), F.substring(F.col(c), 1 + F.floor(n * i / (edits + 1)).cast("int"), (F.floor(n * (i + 1) / (edits + 1)) - F.floor(n * i / (edits + 1))).cast("int"))) for i in range(edits + 1)])
+
+
+def _windows(c: str, edits: int = 2) -> Column:
+    """Keys of a word: where the pieces of words so many edits away may stand in it. Of several pieces that are kept one is met within these shifts."""
+    keys = []
+    for more in range(-edits, edits + 1):
+        n = F.length(c) - more  # of the other word
+        for i in range(edits + 1):
+            begin, size = F.floor(n * i / (edits + 1)).cast("int"), (F.floor(n * (i + 1) / (edits + 1)) - F.floor(n * i / (edits + 1))).cast("int")
+            for shift in range(max(-i, more - (edits - i)), min(i, more + (edits - i)) + 1):
+                fits = (n >= 0) & (begin + shift >= 0) & (begin + shift + size <= F.length(c))
+                keys.append(F.when(fits, F.concat_ws("/", n, F.lit(i), F.substring(F.col(c), begin + shift + 1, size))))
+    return F.array_distinct(F.array_compact(F.array(*keys)))
+
+
+def _grams(c: str) -> Column:
+    """All pieces of a word of 1 to GRAM characters."""
+    at = F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1)))
+    return F.array_distinct(F.flatten(F.array(*[F.transform(F.filter(at, lambda i: i + (k - 1) <= F.length(c)), lambda i: F.substring(F.col(c), i, F.lit(k))) for k in range(1, GRAM + 1)])))
+
+
 def near_matches(targets: DataFrame, slugs: DataFrame) -> DataFrame:
     """(vault, target, slug, distance): slugs that contain the target, lie in it, or are at most two edits away.
 
-    targets (vault, target), slugs (vault, slug), both distinct. No cross join: containment meets on substrings, and
-    words two edits apart become equal when at most two letters of each are deleted, so both are equi-joins.
+    targets (vault, target), slugs (vault, slug), both distinct and in lower case. No cross join: what is contained meets on its first GRAM characters; of a word in three pieces
+    one is left after two edits, at one of a few places. Keys of a word are linear in its length, and merge joins keep them from a broadcast: their number
+    isn't in the planner's estimate, which is that of the words.
     """
     t, s = targets.select("vault", "target"), slugs.select("vault", "slug")
 
-    def parts(c: str) -> Column:
-        n = F.length(c)
-        return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(F.col(c), i, k)))))
-
-    def less(a: Column) -> Column:
-        cut = F.flatten(F.transform(a, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.length(w))))))
-        return F.array_distinct(F.concat(a, cut))
+    def met(x: DataFrame, y: DataFrame, by_x: Column, by_y: Column, when: Column) -> DataFrame:
+        x, y = x.withColumn("h", F.explode(by_x)), y.withColumn("h", F.explode(by_y))
+        return x.hint("merge").join(y.hint("merge"), ["vault", "h"]).where(when).select("vault", "target", "slug")
 
-    inside = t.withColumn("slug", F.explode(parts("target"))).join(s, ["vault", "slug"])
-    around = s.withColumn("target", F.explode(parts("slug"))).join(t, ["vault", "target"])
-    close = t.withColumn("h", F.explode(less(less(F.array("target"))))).join(s.withColumn("h", F.explode(less(less(F.array(F.lower("slug")))))), ["vault", "h"]).where(F.levenshtein("target", F.lower("slug")) <= 2)
-    met = inside.select("vault", "target", "slug").unionByName(around.select("vault", "target", "slug")).unionByName(close.select("vault", "target", "slug")).distinct()
-    return met.withColumn("distance", T.edit_distance(F.col("target"), F.lower("slug")))
+    first = lambda c: F.array(F.substring(F.col(c), 1, GRAM))
+    inside = met(t, s, _grams("target"), first("slug"), F.contains("target", F.col("slug")))
+    around = met(t, s, first("target"), _grams("slug"), F.contains("slug", F.col("target")))
+    close = met(t, s, _pieces("target"), _windows("slug"), F.levenshtein("target", "slug") <= 2)
+    return inside.unionByName(around).unionByName(close).distinct().withColumn("distance", T.edit_distance(F.col("target"), F.col("slug")))
 
 
 def degrees(note_rows: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -75,10 +75,11 @@ def link_broken(spark: SparkSession, sf: str) -> DataFrame:
     return _resolved(spark, sf).where("hits = 0").groupBy("vault", "note", "line", "kind", "target").agg(F.count("*").alias("n"))
 
 
-def _near(spark: SparkSession, sf: str) -> DataFrame:
-    n = plain(spark, sf)
-    lost = V.resolve(V.links(n), n).where("hits = 0 and target <> ''").select("vault", "target").distinct()
-    return V.near_matches(lost, n.where("slug <> ''").select("vault", F.lower("slug").alias("slug")).distinct())
+def _near(spark: SparkSession, sf: str, resolved: DataFrame) -> DataFrame:
+    """Both sides are words alone; they are written once, since each meets the other in three ways."""
+    lost = checkpointed(resolved.where("hits = 0 and target <> ''").select("vault", "target").distinct())
+    slugs = table(spark, sf, "documents").where("slug <> ''").select(F.col("source").alias("vault"), F.lower("slug").alias("slug")).distinct()
+    return V.near_matches(lost, checkpointed(slugs))
 
 
 _NEAR = """t AS (SELECT DISTINCT vault, target FROM e WHERE hits = 0 AND target <> ''), c AS (SELECT DISTINCT vault, lslug AS slug FROM n WHERE slug <> ''),
@@ -88,7 +89,7 @@ _NEAR = """t AS (SELECT DISTINCT vault, target FROM e WHERE hits = 0 AND target
 @query(sql(f", {_NEAR} SELECT vault, target, slug, CAST(distance AS INT) AS distance FROM m"))
 def near_match(spark: SparkSession, sf: str) -> DataFrame:
     """Slugs that an unresolved target may mean."""
-    return _near(spark, sf)
+    return _near(spark, sf, _resolved(spark, sf))
 
 
 @query(sql(f""", {_NEAR}, f AS (SELECT vault, target, count(*) AS near, min(slug) AS guess FROM m GROUP BY ALL), x AS (
@@ -96,7 +97,8 @@ def near_match(spark: SparkSession, sf: str) -> DataFrame:
     UNION ALL SELECT e.vault, 'LNK01', note, line, guess FROM e JOIN f USING (vault, target) WHERE hits = 0 AND kind = 'wiki' AND near = 1 UNION ALL SELECT vault, 'LNK02', note, line, target FROM e WHERE hits = 0 AND kind = 'markdown')
   SELECT vault, "check", CAST(note AS VARCHAR) AS note, CAST(line AS INT) AS line, evidence, count(*) AS n FROM x GROUP BY ALL"""))
 def link_findings(spark: SparkSession, sf: str) -> DataFrame:
-    return V.link_rules(_resolved(spark, sf), _near(spark, sf)).groupBy(*V.FINDING).agg(F.count("*").alias("n"))
+    resolved = _resolved(spark, sf)
+    return V.link_rules(resolved, _near(spark, sf, resolved)).groupBy(*V.FINDING).agg(F.count("*").alias("n"))
 
 
 _LN = "string_split(body, chr(10))"

@@ -228,3 +228,29 @@ def test_index_against_files(spark):
     entries = V.index_entries(index)
     assert {(r.target, r.status) for r in V.index_diff(entries, rows).collect()} == {("a", "both"), ("b", "both"), ("c", "file only"), ("gone", "index only")}
     assert [(r.note, r.hook) for r in V.hook_drift(entries, rows).collect()] == [("1", "the hook")]
+
+
+def test_near_matches_of_all_lengths(spark):
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choices("abc", k=n))
+    targets = {word(rng.randint(1, 14)) for _ in range(60)} | {word(2000)}
+
+    def change(w):
+        i = rng.randrange(len(w))
+        return w[:i] + rng.choice(["", "x", w[i], "ab"]) + w[i + rng.randint(0, 1) :]
+
+    slugs = {s for w in targets for s in (change(w), change(change(w) or "a"), w[1:4])} - {""}
+    t = spark.createDataFrame([("v", x) for x in targets], "vault string, target string")
+    s = spark.createDataFrame([("v", x) for x in slugs], "vault string, slug string")
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            prev, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
+        return row[-1]
+
+    got = V.near_matches(t, s)
+    assert {(r.target, r.slug) for r in got.collect()} == {(a, b) for a in targets for b in slugs if a in b or b in a or (abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2)}
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
