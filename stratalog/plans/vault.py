@@ -97,7 +97,7 @@ def near_match(spark: SparkSession, sf: str) -> DataFrame:
     UNION ALL SELECT e.vault, 'LNK01', note, line, guess FROM e JOIN f USING (vault, target) WHERE hits = 0 AND kind = 'wiki' AND near = 1 UNION ALL SELECT vault, 'LNK02', note, line, target FROM e WHERE hits = 0 AND kind = 'markdown')
   SELECT vault, "check", CAST(note AS VARCHAR) AS note, CAST(line AS INT) AS line, evidence, count(*) AS n FROM x GROUP BY ALL"""))
 def link_findings(spark: SparkSession, sf: str) -> DataFrame:
-    resolved = _resolved(spark, sf)
+    resolved = checkpointed(_resolved(spark, sf))
     return V.link_rules(resolved, _near(spark, sf, resolved)).groupBy(*V.FINDING).agg(F.count("*").alias("n"))
 
 

@@ -254,3 +254,9 @@ def test_near_matches_of_all_lengths(spark):
     got = V.near_matches(t, s)
     assert {(r.target, r.slug) for r in got.collect()} == {(a, b) for a in targets for b in slugs if a in b or b in a or (abs(len(a) - len(b)) <= 2 and distance(a, b) <= 2)}
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_link_rules_read_links_once(spark, tmp_path):
+    df = P.link_findings(spark, vault_of(spark, tmp_path, ["[[n0]] [[quite-lost]]\n[x](gone.md)", "[[n33333]]"]))
+    assert {tuple(r) for r in df.collect()} == {("v0", "LNK03", "0", 1, "n0", 1), ("v0", "LNK02", "0", 2, "gone", 1)}
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 0  # links are checkpointed, not found again by each rule
