@@ -101,33 +101,42 @@ def bursts(bash: DataFrame) -> DataFrame:
 
 
 CHAINS = "sid string, cmd string, retries bigint"
+#: A session's commands are dealt to so many keys.
+SPREAD = 2
 
 
 def _chains(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State: (last t, rows since the island's first failure, 0 before it)."""
-    last, run = state.get if state.exists else (None, 0)
-    out = []
-    if state.hasTimedOut:
-        out.append((*key, run - 1))
-        state.remove()
-    else:
-        frame = pd.concat(frames).sort_values("t", kind="stable")
-        for t, err in zip(frame["t"].tolist(), frame["err"].fillna(False).tolist()):
-            if last is not None and t - last > RETRY_GAP:
-                out.append((*key, run - 1))
+    """State: the open chains of a session's commands: (command, last t, rows since its first failure). A command that hasn't failed has none."""
+    chains = dict(zip(state.get[0], zip(*state.get[1:]))) if state.exists else {}
+    out, fed, now = [], set(), state.getCurrentWatermarkMs()
+    if not state.hasTimedOut:
+        rows = [r for f in frames for r in zip(f["t"].tolist(), f["cmd"].tolist(), f["err"].tolist())]
+        for t, cmd, err in sorted(rows, key=lambda r: r[0]):
+            last, run = chains.get(cmd, (t, 0))
+            if t - last > RETRY_GAP:
+                out.append((key[0], cmd, run - 1))
                 run = 0
-            run = run + 1 if run or err else 0
-            last = t
-        state.update((last, run))
-        state.setTimeoutTimestamp(max((last + RETRY_GAP + 1) * 1000, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame([r for r in out if r[2] > 0], columns=["sid", "cmd", "retries"])
+            if run or err:
+                chains[cmd] = (t, run + 1)
+                fed.add(cmd)
+            else:
+                chains.pop(cmd, None)
+    for cmd in [c for c, (last, _) in chains.items() if c not in fed and (last + RETRY_GAP + 1) * 1000 <= now]:
+        out.append((key[0], cmd, chains.pop(cmd)[1] - 1))
+    if chains:
+        state.update((list(chains), [last for last, _ in chains.values()], [run for _, run in chains.values()]))
+        state.setTimeoutTimestamp(max((min(last for last, _ in chains.values()) + RETRY_GAP + 1) * 1000, now + 1))
+    elif state.exists:
+        state.remove()
+    if ended := [r for r in out if r[2] > 0]:
+        yield pd.DataFrame(ended, columns=["sid", "cmd", "retries"])
 
 
 def retry_chains(bash: DataFrame) -> DataFrame:
-    """Failed commands and how often they were run again, as chains end."""
+    """Failed commands and how often they were run again, as chains end. A key is a share of a session, not a command: most commands are run once, and each key is a call of Python."""
     cmd = F.trim(F.regexp_replace("cmd", r"\s+", " "))
-    keyed = bash.where("cmd is not null").select("sid", cmd.alias("cmd"), "t", F.coalesce("err", F.lit(False)).alias("err"), "ts").groupBy("sid", "cmd")
-    return keyed.applyInPandasWithState(_chains, CHAINS, "last bigint, run bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = bash.where("cmd is not null").select("sid", cmd.alias("cmd"), "t", F.coalesce("err", F.lit(False)).alias("err"), "ts", F.pmod(F.xxhash64(cmd), F.lit(SPREAD)).alias("share"))
+    return rows.groupBy("sid", "share").applyInPandasWithState(_chains, CHAINS, "cmds array<string>, lasts array<bigint>, runs array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drain(stream: DataFrame) -> DataFrame:

@@ -62,3 +62,14 @@ def test_many_files_out_of_order(spark, tmp_path):
         os.utime(folder / f"p{k:02}.parquet", (10**9 + k, 10**9 + k))
     got = streams.stream_wall_tumbling(spark, str(tmp_path))
     assert got.agg(F.sum("calls")).first()[0] == 68  # 64 rows of the 65 files in front are over 30 days before the last, and 4 long before those
+
+
+def test_retry_chains_are_keyed_by_session(spark, tmp_path):
+    day = 86_400
+    rows = [(i, f"s{i % 3}", "git", BASE + (i // 3) * 90 + (2 * day if i > 150 else 0), "f", f"c{(i * i) % 11}", i % 4 == 0, "Bash", 1.0) for i in range(300)]
+    stream = Z.retry_chains(source(spark, tmp_path, rows))
+    got = sorted((r.sid, r.cmd, r.retries) for r in Z.drain(stream).where("sid <> 'end'").collect())
+    batch = S.retry_chains(spark.createDataFrame(rows, SCHEMA).withColumn("seq", F.col("row_id"))).collect()
+    assert got == sorted((r.sid, r.cmd, r.retries) for r in batch) and len(got) >= 20
+    plan = stream._jdf.queryExecution().analyzed().toString()
+    assert "FlatMapGroupsInPandasWithState" in plan and "share#" in plan
