@@ -8,11 +8,12 @@ would pair everything with everything, are hardly ever among them.
 
 from __future__ import annotations
 
+from pyspark.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratalog.functions import text as T
-from stratalog.operators import overlap
+from stratalog.operators import overlap, prefixes
 from stratalog.sources.tables import checkpointed
 
 K, LEAST = 5, 0.8
@@ -69,6 +70,46 @@ def related(class_rows: DataFrame) -> DataFrame:
     return rows.withColumns({"jaccard": F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared")), "containment": F.col("shared") / F.least("na", "nb")})
 
 
+def lowered(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, s) for `signed` and `near`; words are told apart in Python, where their shingles are hashed."""
+    return df.select(F.col(key).alias("key"), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("s"))
+
+
+def _counted(rows: DataFrame, k: int) -> Broadcast:
+    """About how many shingles (of s; with k of 0, s is a hash) each of 2 ** BITS buckets has, a byte each: 4 MB, whatever the corpus."""
+    schema = "part int, codes binary"
+    found = rows.mapInArrow(prefixes.counter(k), schema).repartition("part").mapInArrow(prefixes.summed, schema).collect()
+    codes = b"".join(bytes(r.codes) for r in sorted(found, key=lambda r: r.part))
+    return rows.sparkSession.sparkContext.broadcast(codes or bytes(1 << prefixes.BITS))
+
+
+def signed(texts: DataFrame, least: float = LEAST, k: int = K) -> DataFrame:
+    """(key, d1, d2, n, prefix) of `lowered` texts: a set of shingles is known by two digests and its size, and sent as hashes of its rarest shingles alone."""
+    kind = texts.schema["key"].dataType.simpleString()
+    return texts.mapInArrow(prefixes.signer(k, least, _counted(texts.select("s"), k)), f"key {kind}, d1 bigint, d2 bigint, n int, prefix binary")
+
+
+def classed(signed_rows: DataFrame) -> DataFrame:
+    """One row a set, with or without prefix, cls its smallest key; copies are combined before they are shuffled."""
+    return signed_rows.groupBy(*(c for c in signed_rows.columns if c != "key")).agg(F.min("key").alias("cls"))
+
+
+def near(texts: DataFrame, class_rows: DataFrame, least: float = LEAST, k: int = K) -> DataFrame:
+    """(a, b, jaccard), a < b, of all pairs of `classed` sets with a similarity of `least` or more.
+
+    What is shuffled are hashes of prefixes, then the words (they compress, hashes of all shingles don't) of texts that may be like another; for those the texts are read again.
+    """
+    kind = class_rows.schema["cls"].dataType.simpleString()
+    places = class_rows.select("cls", "n", "prefix").mapInArrow(prefixes.entries, f"h bigint, cls {kind}, n int, at int")
+    met = places.repartition("h").sortWithinPartitions("h").mapInArrow(prefixes.meeting(least), f"a {kind}, b {kind}")
+    met = checkpointed(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    marks = _counted(met.select(F.explode(F.array(F.xxhash64("a"), F.xxhash64("b"))).alias("s")), 0)
+    few = texts.withColumn("id", F.xxhash64("key")).mapInArrow(prefixes.wanted(marks), f"key {kind}, s string")
+    x, y = (few.select(F.col("key").alias(c), F.col("s").alias(f"s{c}")) for c in "ab")
+    rows = met.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(prefixes.judge(k), f"a {kind}, b {kind}, shared bigint, na bigint, nb bigint")
+    return rows.withColumn("jaccard", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).where(F.col("jaccard") >= least).select("a", "b", "jaccard")
+
+
 #: Texts, and characters of text, of a block; groups with more are cut in blocks, and each pair of blocks is a place of its own.
 BLOCK, CHARS = 10_000, 8_000_000
 
@@ -113,8 +154,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Large-star and small-star rounds: the number of rounds is logarithmic in a component's size. Each round is checkpointed to the shared folder; only a
     single checksum a round goes to the driver.
     """
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v")
-    now, seen = checkpointed(both), None
+    both = checkpointed(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v"))
+    now, seen = both, None
     while True:
         sym = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = sym.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))

@@ -188,30 +188,33 @@ _NEARDUP = f"""sd AS ({_shingled('note', 'body', M.K, 'n')}), t AS (SELECT note,
   x AS (SELECT cls, n, unnest(sh) AS h FROM c), p AS (SELECT a.cls AS a, b.cls AS b, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS jaccard FROM x a JOIN x b ON a.h = b.h AND a.cls < b.cls GROUP BY ALL HAVING jaccard >= {M.LEAST})"""
 
 
-def _near_dups(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    sets = checkpointed(M.sets(plain(spark, sf), "note", "body"))
-    return sets, M.pairs(M.classes(sets))
+def _near_dups(spark: SparkSession, sf: str) -> DataFrame:
+    texts = M.lowered(plain(spark, sf), "note", "body")
+    return M.near(texts, M.classed(M.signed(texts)))
 
 
 @query(sql(f", {_NEARDUP} SELECT a, b, {sql_half_up('jaccard', 6)} AS jaccard FROM p"))
 def near_dup_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of classes of equal five-word shingle sets with a similarity of 0.8 or more."""
-    return _near_dups(spark, sf)[1].select("a", "b", N.half_up(F.col("jaccard"), 6).alias("jaccard"))
+    return _near_dups(spark, sf).select("a", "b", N.half_up(F.col("jaccard"), 6).alias("jaccard"))
 
 
 @query(sql(f", {_NEARDUP}, d AS (SELECT a AS cls FROM p UNION ALL SELECT b FROM p), q AS (SELECT cls, count(*) AS links FROM d GROUP BY cls) SELECT note AS doc_id, cls, coalesce(links, 0) AS links FROM t LEFT JOIN q USING (cls)"))
 def near_dup_classes(spark: SparkSession, sf: str) -> DataFrame:
     """Each document's class and how many other classes it is near."""
-    sets, pairs = _near_dups(spark, sf)
-    links = pairs.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("links"))
-    return sets.select(F.col("key").alias("doc_id"), "cls").join(links, "cls", "left").select("doc_id", "cls", F.coalesce("links", F.lit(0)).alias("links"))
+    texts = M.lowered(plain(spark, sf), "note", "body")
+    rows = checkpointed(M.signed(texts))
+    links = M.near(texts, M.classed(rows)).select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("links"))
+    sets = rows.drop("prefix")
+    members = sets.join(M.classed(sets), ["d1", "d2", "n"]).withColumnRenamed("key", "doc_id")
+    return members.join(links, "cls", "left").select("doc_id", "cls", F.coalesce("links", F.lit(0)).alias("links"))
 
 
 @query(sql(f""", {_NEARDUP}, g AS (WITH RECURSIVE y AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), r AS (SELECT DISTINCT a AS node, a AS root FROM y UNION SELECT y.b, r.root FROM r JOIN y ON y.a = r.node) SELECT node, min(root) AS root FROM r GROUP BY node)
   SELECT node, root FROM g"""))
 def near_dup_clusters(spark: SparkSession, sf: str) -> DataFrame:
     """Connected classes, each with the smallest of its cluster."""
-    return M.components(_near_dups(spark, sf)[1])
+    return M.components(_near_dups(spark, sf))
 
 
 # Test items are few and fixed in number: the pair operators with low thresholds run on them, a suite being a vault.

@@ -4,9 +4,12 @@ import itertools
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from stratalog.operators import prefixes
 from stratalog.operators import similarity as M
 from stratalog.operators import vault as V
 from stratalog.plans import vault as P
@@ -83,6 +86,65 @@ def test_pairs_like_brute_force(spark):
     assert want and {(r.a, r.b) for r in M.pairs(M.classes(rows)).collect()} == want
 
 
+def near_by_force(texts):
+    """Class of each text, and (shared, na, nb) of all pairs of classes."""
+    shingle = lambda t: frozenset(tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4))
+    sets = {i: shingle(t) for i, t in enumerate(texts) if t and shingle(t)}
+    first = {}
+    for i, s in sets.items():
+        first.setdefault(s, i)
+    return {i: first[s] for i, s in sets.items()}, {(i, j): (len(s & r), len(s), len(r)) for s, i in first.items() for r, j in first.items() if i < j}
+
+
+def test_near_dups_like_brute_force(spark, tmp_path):
+    rng = random.Random(12)
+    base = [" ".join(rng.choices("abcdefgh", k=rng.randint(5, 60))) for _ in range(25)]
+    texts = [" ".join(w if rng.random() > 0.02 else "z" for w in rng.choice(base).split()) for _ in range(150)]
+    texts += ["a b c d e f g h " * 3 + rng.choice("xyz") * rng.randint(0, 3) for _ in range(40)]  # copies, and shingles that many have
+    texts += ["", None, "a b c d", "a b c d e", "A. b, c\td--E"]
+    cls, shared = near_by_force([t and re.sub(r"[^a-z0-9]+", " ", t.lower()) for t in texts])
+    want = {p: n / (a + b - n) for p, (n, a, b) in shared.items() if n / (a + b - n) >= 0.8}
+    root = {i: i for p in want for i in p}
+    for _ in root:
+        for a, b in want:
+            root[a] = root[b] = min(root[a], root[b])
+    at = vault_of(spark, tmp_path, texts)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)  # most shingles go over several batches
+    try:
+        assert want and {(r.a, r.b): r.jaccard for r in P.near_dup_pairs(spark, at).collect()} == {p: round(j, 6) for p, j in want.items()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r.doc_id: (r.cls, r.links) for r in P.near_dup_classes(spark, at).collect()} == {i: (c, sum(c in p for p in want)) for i, c in cls.items()}
+    assert {r.node: r.root for r in P.near_dup_clusters(spark, at).collect()} == root
+
+
+def test_prefix_words_and_ties():
+    texts = ["", "-- !", "a b c", "a b\u00e9c", "a", "x a b c", "a b c-a b c"]
+    row, h = prefixes.hashes(pa.array(["left out", *texts])[1:], 3)
+    assert row.tolist() == [2, 3, 5, 5, 6, 6, 6, 6] and h[0] == h[1] == h[3] == h[4] == h[7] != h[2]
+    rows, kept = prefixes.distinct(row, h)
+    assert [(kept[rows == i]).tolist() for i in (2, 6)] == [[h[0]], sorted({int(x) for x in h[4:]})]
+    rows, kept = prefixes.distinct(np.zeros(3, dtype=np.int64), np.array([1, 2, 1], dtype=np.uint64))  # alike in all bits of the number they are sorted by
+    assert rows.tolist() == [0, 0] and kept.tolist() == [1, 2]
+
+
+def shuffled(spark):
+    """Bytes that all stages so far have shuffled."""
+    jvm, sc = spark._jvm, spark.sparkContext._jsc.sc()
+    stages = sc.statusStore().stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_near_dups_shuffle_less_than_the_sets(spark, tmp_path):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choices("abcdefghij", k=5))
+    texts = [" ".join(word() for _ in range(300)) for _ in range(400)]
+    texts += [t.rsplit(" ", 1)[0] for t in texts]  # each is near one other
+    at, before = vault_of(spark, tmp_path, texts), shuffled(spark)
+    assert P.near_dup_clusters(spark, at).count() == 800
+    assert shuffled(spark) - before < 2.5 * sum(map(len, texts))  # eight bytes for each shingle are 1.3 times the text, and a set is shuffled more than once
+
+
 def test_alike_like_brute_force(spark):
     rng = random.Random(6)
     texts = [" ".join(rng.choices("abcd", k=rng.choice([3, 5, 8, 40]))) for _ in range(60)]
@@ -180,6 +242,18 @@ def test_linked_notes_in_blocks(spark, tmp_path):
     assert all(not by & {"h", "a", "b"} for by in exchanged(P.note_missing_link(spark, str(tmp_path))))
 
 
+def test_components_compute_edges_once(spark):
+    rows = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            rows.add(b.num_rows)
+            yield b
+
+    got = M.components(spark.createDataFrame([(1, 2), (3, 2), (5, 5), (7, 8)], "a int, b int").mapInArrow(run, "a int, b int"))
+    assert {r.node: r.root for r in got.collect()} == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7} and rows.value == 4
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = {r.node: r.root for r in M.components(spark.createDataFrame(edges, "a int, b int")).collect()}
